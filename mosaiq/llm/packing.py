@@ -58,14 +58,19 @@ class _Encoder:
             yield (self._ids(chunks[:1])[0] if text else b"") + b"".join(map(self.known.__getitem__, chunks[1:]))
 
 
+def _encoder(path: str) -> _Encoder:
+    """This worker's encoder: what it has learned stays from task to task."""
+    if path not in _kept:
+        _kept[path] = _Encoder(path)
+    return _kept[path]
+
+
 def token_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids, binary, if asked for). A document longer than capacity is cut so
     that only its first piece is shorter."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _kept.get(tokenizer_path)
-        if encoder is None:
-            encoder = _kept[tokenizer_path] = _Encoder(tokenizer_path)
+        encoder = _encoder(tokenizer_path)
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
