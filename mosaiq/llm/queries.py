@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, near_dups, packing, quality_rules, secrets, substring_dedup, token_counts, warc
+from . import ctw, decontaminate, near_dups, packing, quality_classifier, quality_rules, secrets, substring_dedup, token_counts, warc
 from ._common import shared_dir, table
 
 
@@ -24,6 +24,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     ratios = secrets.train(secrets.labelled_samples(documents, table(spark, sf_dir, "labels")))
@@ -40,6 +44,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path).drop("payload")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json")))
 
@@ -52,5 +60,5 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op4_secret_scans, op5_near_duplicates, op6_warc, op8_best_fit_packing, op9_substring_dedup, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_decontamination, op4_secret_scans, op5_near_duplicates, op6_warc, op7_quality_classifier, op8_best_fit_packing, op9_substring_dedup, op10_lm_scoring)}
 ORACLES: dict[str, str] = {}

@@ -102,7 +102,7 @@ def labelled_samples(documents: DataFrame, labels: DataFrame, most: int = 4000,
     return ordinary.withColumn("is_secret", F.lit(False)).unionByName(secret.withColumn("is_secret", F.lit(True)))
 
 
-def find_secrets(documents: DataFrame, ratios: list[float], threshold: float = 0.6, text_col: str = "text") -> DataFrame:
+def find_secrets(documents: DataFrame, ratios: list[float], threshold: float = 2.0, text_col: str = "text") -> DataFrame:
     """Adds _base and _spans (base spans, and the runs that the models call random), each ordered by start and kind."""
     size = len(ALPHABET)
     model = F.from_json(F.lit(json.dumps([round(x, 6) for x in ratios])), "array<double>")
