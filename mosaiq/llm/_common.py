@@ -46,6 +46,13 @@ def words_of(text: Column) -> Column:
     return F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(stripped, "[ \\t-\\r]+"))
 
 
+def byte_of_char() -> dict[str, int]:
+    """Byte-level vocabularies write printable Latin-1 bytes as themselves and the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+
+
 # -- vectorised word hashing --------------------------------------------------------------------------------------
 
 _M64 = (1 << 64) - 1

@@ -12,50 +12,83 @@ each; ties of rank are broken by document, piece and checksum; an empty table gi
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import byte_of_char, materialize
 
 #: White space other than blank and newline, as Python or the library may see it.
 _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
-_EDGE = re.compile("^[ \n]|[ \n]$|  | \n|\n ")
 _kept: dict[str, _Encoder] = {}
 
 
+#: The byte-level pre-token pattern (a fixed value of such vocabularies).
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _fast_merges(tokenizer: Any) -> Callable[[str], list[int]] | None:
+    """The same merges in a library with less cost a call, for byte-level vocabularies whose ids are their merge ranks;
+    None for any other."""
+    import tiktoken
+
+    made = json.loads(tokenizer.to_str())
+    model, pre = made["model"], made["pre_tokenizer"] or {}
+    if made["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex") or model.get("ignore_merges"):
+        return None
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if any(model["vocab"].get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
+        return None
+    added = {t["content"] for t in made["added_tokens"]}
+    byte = byte_of_char()
+    ranks = {bytes(byte[c] for c in token): n for token, n in model["vocab"].items() if token not in added}
+    return tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 class _Encoder:
     """Token ids of texts as little-endian 32-bit bytes. A blank-separated chunk never shares a token with another one,
     so chunks are encoded once and remembered (up to `most` of them)."""
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 700_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.fast = _fast_merges(self.tokenizer)
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _chunks(self, texts: list[str]) -> Iterator[bytes]:
+        if self.fast:
+            return (struct.pack(f"<{len(ids)}I", *ids) for ids in map(self.fast, texts))
+        return (np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         if len(self.known) > self.most:
             self.known.clear()
         for text in texts:
-            if _ODD.search(text) or _EDGE.search(text) or any(s in text for s in self.special):
-                yield self._ids([text])[0]
+            if not text:
+                yield b""
+                continue
+            if text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or _ODD.search(text) or any(s in text for s in self.special):
+                yield self._whole(text)
                 continue
-            chunks = text.split(" ")
-            if new := list(set(chunks[1:]).difference(self.known)):
-                self.known.update(zip(new, self._ids([f" {c}" for c in new]), strict=True))
-            yield (self._ids(chunks[:1])[0] if text else b"") + b"".join(map(self.known.__getitem__, chunks[1:]))
+            first, *chunks = text.split(" ")
+            if new := list(set(chunks).difference(self.known)):
+                self.known.update(zip(new, self._chunks([f" {c}" for c in new]), strict=True))
+            yield next(iter(self._chunks([first]))) + b"".join(map(self.known.__getitem__, chunks))
 
 
 def _encoder(path: str) -> _Encoder:
@@ -96,7 +129,14 @@ def token_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = 1024
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths with the number of sequences of each pattern, for so many pieces of each length."""
+    """Patterns of lengths with the number of sequences of each pattern, for so many pieces of each length: the best of the
+    plans that complete a length with up to one, two or three others, or with three only from some length down."""
+    plans = [_plan(counts, capacity, most, floor) for most in (1, 2, 3) for floor in (0, capacity // 4, capacity // 2)]
+    return min(plans, key=lambda plan: sum(n for _, n in plan))
+
+
+def _plan(counts: dict[int, int], capacity: int, most: int, floor: int) -> list[tuple[tuple[int, ...], int]]:
+    """Combinations of up to `most` lengths are looked up for gaps of at least `floor`, single ones for all gaps."""
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         left[length] = n
@@ -109,16 +149,16 @@ def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ..
         return min(int(left[x]) // lengths.count(x) for x in set(lengths))
 
     def pair(total: int, first: int = 0) -> tuple[int, int] | None:
-        """Two lengths of that sum, of which most are there; first: a length that is spoken for already."""
+        """Two lengths of that sum, the longest there is among them; first: a length that is spoken for already."""
         a = np.arange(1, total // 2 + 1)
         if not len(a):
             return None
         have = left.copy()
         if first:
             have[first] -= 1
-        most = np.where(a == total - a, have[a] // 2, np.minimum(have[a], have[total - a]))
-        best = int(np.argmax(most))
-        return (int(a[best]), total - int(a[best])) if most[best] > 0 else None
+        there = np.where(a == total - a, have[a] // 2, np.minimum(have[a], have[total - a])) > 0
+        best = int(np.argmax(there))
+        return (total - int(a[best]), int(a[best])) if there[best] else None
 
     def complement(long: int) -> tuple[int, ...] | None:
         gap = capacity - long
@@ -126,9 +166,11 @@ def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ..
         try:
             if left[gap] > 0:
                 return (gap,)
+            if most < 2 or gap < floor:
+                return None
             if found := pair(gap):
                 return found
-            for a in np.flatnonzero(left[: gap - 1])[::-1] if gap > 2 else ():
+            for a in np.flatnonzero(left[: gap - 1])[::-1] if most > 2 and gap > 2 else ():
                 if found := pair(gap - int(a), int(a)):
                     return (int(a), *found)
             return None

@@ -19,8 +19,11 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
+from ._common import byte_of_char
+
 #: The vocabulary's own pre-token pattern (a fixed value of its file).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: str.split() takes these as white space, the library doesn't.
@@ -35,18 +38,11 @@ def _load(path: str):
     return Tokenizer.from_file(path)
 
 
-def _byte_of_char() -> dict[str, int]:
-    """Byte-level vocabularies write printable Latin-1 bytes as themselves and the others from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
-
-
 def whole_tokens(path: str) -> frozenset[str]:
     """The strings that the tokenizer at `path` provably encodes alone as the one token of their name."""
     tokenizer = _load(path)
     suffix = json.loads(tokenizer.to_str())["model"].get("end_of_word_suffix") or ""
-    byte, found = _byte_of_char(), {}
+    byte, found = byte_of_char(), {}
     for token, number in tokenizer.get_vocab(with_added_tokens=False).items():
         if token.endswith(suffix) and len(token) > len(suffix):
             chars = token[: len(token) - len(suffix)]
@@ -97,6 +93,13 @@ class _Counter:
         return out
 
 
+def _counter(path: str, whole: Broadcast) -> _Counter:
+    """This worker's counter: what it has learned stays from task to task."""
+    if path not in _kept:
+        _kept[path] = _Counter(path, whole.value)
+    return _kept[path]
+
+
 def count_tokens(documents: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every row; map-side only, no shuffle.
 
@@ -105,9 +108,7 @@ def count_tokens(documents: DataFrame, tokenizer_path: str, limit: int = 2048, i
     whole = spark.sparkContext.broadcast(whole_tokens(tokenizer_path))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _kept.get(tokenizer_path)
-        if counter is None:
-            counter = _kept[tokenizer_path] = _Counter(tokenizer_path, whole.value)
+        counter = _counter(tokenizer_path, whole)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 ids, text = batch.column(0)[i : i + 256], batch.column(1)[i : i + 256].fill_null("")
