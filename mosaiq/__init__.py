@@ -1,0 +1 @@
+"""Layered raster documents as Spark relations: scripts in, DataFrames out."""
