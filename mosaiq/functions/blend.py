@@ -17,11 +17,10 @@ VECTOR = ("dkCl", "lgCl", "hue", "sat", "colr", "lum")
 MODES = ("norm", "diss", *SEPARABLE, *VECTOR)
 
 Rgb = tuple[Column, Column, Column]
-_0, _1 = F.lit(0.0), F.lit(1.0)
 
 
 def _clamp(v: Column) -> Column:
-    return F.least(F.greatest(v, _0), _1)
+    return F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
 
 
 def _screen(b: Column, s: Column) -> Column:
@@ -29,11 +28,11 @@ def _screen(b: Column, s: Column) -> Column:
 
 
 def _dodge(b: Column, s: Column) -> Column:
-    return F.when(b == 0.0, _0).when(s == 1.0, _1).otherwise(F.least(_1, b / F.nullif(1.0 - s, _0)))
+    return F.when(b == 0.0, F.lit(0.0)).when(s == 1.0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), b / F.nullif(1.0 - s, F.lit(0.0))))
 
 
 def _burn(b: Column, s: Column) -> Column:
-    return F.when(b == 1.0, _1).when(s == 0.0, _0).otherwise(1.0 - F.least(_1, (1.0 - b) / F.nullif(s, _0)))
+    return F.when(b == 1.0, F.lit(1.0)).when(s == 0.0, F.lit(0.0)).otherwise(1.0 - F.least(F.lit(1.0), (1.0 - b) / F.nullif(s, F.lit(0.0))))
 
 
 def _hard(b: Column, s: Column) -> Column:
@@ -57,10 +56,10 @@ _TABLE: dict[str, Callable[[Column, Column], Column]] = {
     "sLit": _soft,
     "diff": lambda b, s: F.abs(b - s),
     "smud": lambda b, s: (b + s) - (2.0 * b) * s,
-    "lbrn": lambda b, s: F.greatest(_0, (b + s) - 1.0),
-    "lddg": lambda b, s: F.least(_1, b + s),
-    "fsub": lambda b, s: F.greatest(_0, b - s),
-    "fdiv": lambda b, s: F.when(b == 0.0, _0).when(s == 0.0, _1).otherwise(F.least(_1, b / F.nullif(s, _0))),
+    "lbrn": lambda b, s: F.greatest(F.lit(0.0), (b + s) - 1.0),
+    "lddg": lambda b, s: F.least(F.lit(1.0), b + s),
+    "fsub": lambda b, s: F.greatest(F.lit(0.0), b - s),
+    "fdiv": lambda b, s: F.when(b == 0.0, F.lit(0.0)).when(s == 0.0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), b / F.nullif(s, F.lit(0.0)))),
     "vLit": lambda b, s: F.when(s <= 0.5, _burn(b, 2.0 * s)).otherwise(_dodge(b, 2.0 * s - 1.0)),
     "lLit": lambda b, s: _clamp((b + 2.0 * s) - 1.0),
     "pLit": lambda b, s: F.when(s <= 0.5, F.least(b, 2.0 * s)).otherwise(F.greatest(b, 2.0 * s - 1.0)),
@@ -70,7 +69,7 @@ _TABLE: dict[str, Callable[[Column, Column], Column]] = {
 def separable(mode: str, b: Column, s: Column, b8: Column, s8: Column) -> Column:
     """One channel, values in [0, 1] and as bytes; clamped."""
     if mode == "hMix":
-        return F.when(b8 + s8 >= 255, _1).otherwise(_0)
+        return F.when(b8 + s8 >= 255, F.lit(1.0)).otherwise(F.lit(0.0))
     return _clamp(_TABLE[mode](b, s))
 
 
@@ -88,8 +87,8 @@ def _set_sat(c: Rgb, s: Column) -> Rgb:
     high, low = F.greatest(*c), F.least(*c)
     top = F.when(r == high, 0).when(g == high, 1).otherwise(2)
     bottom = F.when(r == low, 0).when(g == low, 1).otherwise(2)
-    between = lambda v: (v - low) * s / F.nullif(high - low, _0)
-    return tuple(F.when(~(high > low), _0).when(top == i, s).when(bottom == i, _0).otherwise(between(v)) for i, v in enumerate(c))  # type: ignore[return-value]
+    between = lambda v: (v - low) * s / F.nullif(high - low, F.lit(0.0))
+    return tuple(F.when(~(high > low), F.lit(0.0)).when(top == i, s).when(bottom == i, F.lit(0.0)).otherwise(between(v)) for i, v in enumerate(c))  # type: ignore[return-value]
 
 
 def steps(mode: str, b: Rgb, s: Rgb, b8: Rgb, s8: Rgb) -> list[Callable[[Callable[[str], Column]], dict[str, Column]]]:
@@ -118,10 +117,10 @@ def steps(mode: str, b: Rgb, s: Rgb, b8: Rgb, s8: Rgb) -> list[Callable[[Callabl
 
     def low(c: Callable[[str], Column]) -> dict[str, Column]:
         d1 = c("_l") - c("_n")
-        return {f"_e{i}": F.when((c("_n") < 0.0) & (d1 > 0.0), c("_l") + (c(f"_d{i}") - c("_l")) * c("_l") / F.nullif(d1, _0)).otherwise(c(f"_d{i}")) for i in range(3)}
+        return {f"_e{i}": F.when((c("_n") < 0.0) & (d1 > 0.0), c("_l") + (c(f"_d{i}") - c("_l")) * c("_l") / F.nullif(d1, F.lit(0.0))).otherwise(c(f"_d{i}")) for i in range(3)}
 
     def high(c: Callable[[str], Column]) -> dict[str, Column]:
         d2 = c("_x") - c("_l")
-        return {f"_bl{i}": _clamp(F.when((c("_x") > 1.0) & (d2 > 0.0), c("_l") + (c(f"_e{i}") - c("_l")) * (1.0 - c("_l")) / F.nullif(d2, _0)).otherwise(c(f"_e{i}"))) for i in range(3)}
+        return {f"_bl{i}": _clamp(F.when((c("_x") > 1.0) & (d2 > 0.0), c("_l") + (c(f"_e{i}") - c("_l")) * (1.0 - c("_l")) / F.nullif(d2, F.lit(0.0))).otherwise(c(f"_e{i}"))) for i in range(3)}
 
     return [first, shift, facts, low, high]

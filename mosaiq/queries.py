@@ -324,7 +324,6 @@ QUERIES["sel_alpha"] = _selected(_ALPHA)
 ORACLES["sel_alpha"] = f"SELECT x, y, a s FROM ({S_SRC}) WHERE a > 0"
 QUERIES["sel_inverse"] = _selected(_ALPHA, {"op": "select_inverse"})
 ORACLES["sel_inverse"] = f"SELECT x, y, CAST(255 - a AS INTEGER) s FROM ({S_SRC}) WHERE a < 255"
-_samples = "(SELECT list((2 * i + 1) / 32.0::DOUBLE ORDER BY i) FROM range(16) t(i))"
 _unnested = f"SELECT x, y, x + u.ox px, y + v.oy py FROM ({S_SRC}), (SELECT (2 * i + 1) / 32.0::DOUBLE ox FROM range(16) t(i)) u, (SELECT (2 * i + 1) / 32.0::DOUBLE oy FROM range(16) t(i)) v WHERE y < 10"
 QUERIES["sel_ellipse"] = _selected({"op": "select_ellipse", "x": 3.5, "y": 0.25, "w": 60.5, "h": 8.5})
 ORACLES["sel_ellipse"] = f"SELECT x, y, s FROM (SELECT x, y, {sq('n / 256.0::DOUBLE')} s FROM (SELECT x, y, count(*) n FROM (SELECT *, (px - (3.5::DOUBLE + 60.5::DOUBLE / 2)) / (60.5::DOUBLE / 2) dx, (py - (0.25::DOUBLE + 8.5::DOUBLE / 2)) / (8.5::DOUBLE / 2) dy FROM ({_unnested})) WHERE dx * dx + dy * dy <= 1 GROUP BY x, y)) WHERE s > 0"
@@ -370,9 +369,9 @@ ORACLES["wand_contiguous"] = f"WITH RECURSIVE m AS MATERIALIZED ({_like}), reach
 def _sql_paint(color: tuple[str, str, str], alpha: str) -> str:
     """A colour (SQL doubles) over the source layer with coverage alpha."""
     keep = f"SELECT *, {alpha} k, a / 255.0::DOUBLE ab FROM ({S_SRC})"
-    out = ", ".join(f"CASE WHEN k = 0 THEN {c} ELSE {sq(_div(f'({s}) * k + (({c} / 255.0::DOUBLE) * ab) * (1.0::DOUBLE - k)', 'k + ab * (1.0::DOUBLE - k)'))} END o{c}" for c, s in zip(_RGB, color, strict=True))
+    out = ", ".join(f"CASE WHEN k = 0 THEN {c} ELSE {sq(_div(f'({s}) * k + (({c} / 255.0::DOUBLE) * ab) * (1.0::DOUBLE - k)', 'k + ab * (1.0::DOUBLE - k)'))} END out_{c}" for c, s in zip(_RGB, color, strict=True))
     raw = f"SELECT x, y, {out}, CASE WHEN k = 0 THEN a ELSE {sq('k + ab * (1.0::DOUBLE - k)')} END oa FROM ({keep})"
-    return f"SELECT x, y, {', '.join(f'CAST(CASE WHEN oa = 0 THEN 0 ELSE o{c} END AS INTEGER) {c}' for c in _RGB)}, CAST(oa AS INTEGER) a FROM ({raw})"
+    return f"SELECT x, y, {', '.join(f'CAST(CASE WHEN oa = 0 THEN 0 ELSE out_{c} END AS INTEGER) {c}' for c in _RGB)}, CAST(oa AS INTEGER) a FROM ({raw})"
 
 
 _E = "(CASE WHEN x >= 5 AND x < 45 AND y >= 1 AND y < 7 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
