@@ -163,6 +163,7 @@ def near_duplicates(documents: DataFrame, least: float = 0.8, k: int = 5, bands:
     reps = made.join(heads.select(F.col("rep").alias("doc_id"), "same"), ["doc_id", "same"], "left_semi").dropDuplicates(["doc_id", "same"])
     rows = reps.select(F.col("doc_id").alias("node"), "n", F.explode("keys").alias("key"))
     groups = rows.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.count("*").alias("c")).where("c > 1").select("key", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"))
+    groups = materialize(spark, groups, "leads")  # a written table: the join below is one whose hot keys Spark can split
     rows = materialize(spark, rows.join(groups, "key"), "groups")
     sized = lambda x, y: F.least(x, y) >= least * F.greatest(x, y)
     pairs = rows.where(F.col("lead") < F.col("node")).where(sized(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()

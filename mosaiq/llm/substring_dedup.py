@@ -28,6 +28,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,53 +80,52 @@ def paths(documents: DataFrame, k: int, seed: int) -> DataFrame:
     return documents.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "v long, s long, doc_id long, pos long")
 
 
+def _verified(places: pa.ListArray, words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, first word and edges of the places whose words have the hash that they claim; places: a list of
+    (pos, s) for each text, or null."""
+    flat = places.flatten()
+    row = np.repeat(np.arange(len(places)), pc.fill_null(pc.list_value_length(places), 0).to_numpy())
+    pos, s = (flat.field(c).to_numpy() for c in ("pos", "s"))
+    begin, edges = words.first[row] + (pos >> _SHIFT), pos & ((1 << _SHIFT) - 1)
+    there = begin + edges + k - 1 <= words.first[row + 1]
+    row, begin, edges, s = row[there], begin[there], edges[there], s[there]
+    good = words.spans(begin, edges + k - 1).view(np.int64) == s
+    return row[good], begin[good], edges[good]
+
+
 def edges_of(documents: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
     """s, doc_id, pos of each single edge of the chosen paths (doc_id, pos, s), opened at their source coordinates."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j, data, bounds in text_slices(batch.column(1)):
                 words = Words(data, bounds)
-                out = [np.zeros(0, dtype=np.int64)] * 3
-                for r in range(i, j):
-                    at, hashes = _coordinates(batch.column(2)[r], words, r - i, k)
-                    doc = np.full(len(at), batch.column(0)[r].as_py(), dtype=np.int64)
-                    out = [np.concatenate([a, b]) for a, b in zip(out, (words.spans(at, np.full(len(at), k)).view(np.int64), doc, ((at - words.first[r - i]) << _SHIFT) | 1), strict=True)] if len(at) else out
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["s", "doc_id", "pos"])
+                row, begin, edges = _verified(batch.column(2)[i:j], words, k)
+                row, total = np.repeat(row, edges), int(edges.sum())
+                at = np.repeat(begin - (np.cumsum(edges) - edges), edges) + np.arange(total)
+                hashes = words.spans(at, np.full(total, k)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(ids[i + row]), pa.array(((at - words.first[row]) << _SHIFT) | 1)], names=["s", "doc_id", "pos"])
 
     lists = chosen.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "s")).alias("places"))  # within one document
     return documents.select("doc_id", "text").join(lists, "doc_id").select("doc_id", "text", "places").mapInArrow(run, "s long, doc_id long, pos long")
 
 
-def _coordinates(places: pa.Scalar, words: Words, doc: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first words of all edges in the places whose words have the hash that they claim."""
-    none = np.zeros(0, dtype=np.int64)
-    if not places.is_valid or not len(places):
-        return none, none
-    pos, s = (places.values.field(c).to_numpy() for c in ("pos", "s"))
-    begin, edges = words.first[doc] + (pos >> _SHIFT), pos & ((1 << _SHIFT) - 1)
-    there = begin + edges + k - 1 <= words.first[doc + 1]
-    begin, edges, s = begin[there], edges[there], s[there]
-    good = words.spans(begin, edges + k - 1).view(np.int64) == s
-    begin, edges = begin[good], edges[good]
-    total = int(edges.sum())
-    return np.repeat(begin - np.concatenate([[0], np.cumsum(edges)[:-1]]), edges) + np.arange(total) if total else none, edges
-
-
 def repeated(documents: DataFrame, k: int = 13, seed: int = 5) -> DataFrame:
     """doc_id, pos, s of all paths and edges that a document with a smaller id has too."""
     spark = documents.sparkSession
     rows = paths(documents, k, seed)
-    shared = rows.groupBy("v").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("v")
+    # what is joined is a written table each time: a join of two plain exchanges is one whose hot keys Spark can split
+    shared = materialize(spark, rows.groupBy("v").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("v"), "shared")
     rows = materialize(spark, rows.join(shared, "v"), "paths")
-    first = rows.groupBy("s").agg(F.min("doc_id").alias("lo"))
+    first = materialize(spark, rows.groupBy("s").agg(F.min("doc_id").alias("lo")), "earliest")
     rows = materialize(spark, rows.join(first, "s"), "firsts")
     whole = rows.where("lo < doc_id").select("doc_id", "pos", "s")
     heads = rows.where("lo = doc_id").groupBy("v", "s", "doc_id").agg(F.min("pos").alias("pos"))
-    branching = heads.groupBy("v").agg(F.min("s").alias("a"), F.max("s").alias("b")).where("a < b").select("v")
+    branching = materialize(spark, heads.groupBy("v").agg(F.min("s").alias("a"), F.max("s").alias("b")).where("a < b").select("v"), "branching")
     opened = rows.where("lo = doc_id").join(branching, "v", "left_semi").select("doc_id", "pos", "s")
     edges = materialize(spark, edges_of(documents, opened, k), "edges")
-    earliest = edges.groupBy("s").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("s", "lo")
+    earliest = materialize(spark, edges.groupBy("s").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("s", "lo"), "edges_of_several")
     single = edges.join(earliest, "s").where("lo < doc_id").select("doc_id", "pos", "s")
     return materialize(spark, whole.unionByName(single), "repeated")
 
@@ -138,20 +138,21 @@ def remove_repeated(documents: DataFrame, k: int = 13, seed: int = 5, with_text:
         for batch in batches:
             for i, j, data, bounds in text_slices(batch.column(1)):
                 words = Words(data, bounds)
-                raw, n, gone, sha, kept = data.tobytes(), [], [], [], []
-                for r in range(i, j):
-                    own = raw[bounds[r - i] : bounds[r - i + 1]].split()
-                    at, _ = _coordinates(batch.column(2)[r], words, r - i, k)
-                    if len(at):
-                        cover = np.zeros(len(own) + 1, dtype=np.int64)
-                        at = at - words.first[r - i]
-                        np.add.at(cover, at, 1)
-                        np.add.at(cover, at + k, -1)
-                        left = list(compress(own, np.cumsum(cover)[:-1] == 0))
-                    else:
-                        left = own
-                    text = b" ".join(left)
-                    n.append(len(own)), gone.append(len(own) - len(left)), sha.append(hashlib.sha256(text).hexdigest()), kept.append(text.decode())
+                row, begin, edges = _verified(batch.column(2)[i:j], words, k)
+                cover = np.zeros(len(words.hash) + 1, dtype=np.int64)
+                np.add.at(cover, begin, 1)
+                np.add.at(cover, begin + edges + k - 1, -1)
+                left = np.cumsum(cover)[:-1] == 0
+                raw, n, gone, sha, kept = data.tobytes(), np.diff(words.first), [], [], []
+                touched = np.zeros(j - i, dtype=bool)
+                touched[row] = True
+                for r in range(j - i):
+                    own = raw[bounds[r] : bounds[r + 1]].split()
+                    rest = list(compress(own, left[words.first[r] : words.first[r + 1]])) if touched[r] else own
+                    text = b" ".join(rest)
+                    gone.append(len(own) - len(rest)), sha.append(hashlib.sha256(text).hexdigest())
+                    if with_text:
+                        kept.append(text.decode())
                 arrays = [batch.column(0)[i:j], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)] + [pa.array(kept)] * with_text
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * with_text)
 
