@@ -41,7 +41,7 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    return warc.read_archives(spark, path).drop("payload")
+    return warc.read_archives(spark, path, with_payload=False).drop("payload")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

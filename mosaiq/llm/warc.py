@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import materialize
+
 END = b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -61,6 +63,7 @@ def with_types(pages: DataFrame, least: int = 0) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     base = pages.select("page_id", "url", html.alias("payload")).withColumns({"_sha": F.sha2("payload", 256), "_n": F.length("payload")})
     groups = base.groupBy("_sha", "_n").agg(F.max("page_id").alias("_top"), F.count("*").alias("_c")).where(f"_c > 1 and _n >= {int(least)}").select("_sha", "_n", "_top")
+    groups = materialize(pages.sparkSession, groups, "payloads")  # so that the join's hot payloads can be split
     return base.join(groups, ["_sha", "_n"], "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("_top")), F.col("_top")).alias("refers_to"))
 
 
@@ -102,10 +105,10 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = 1 << 16, re
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = [batch.column(c)[i].as_py() for c in range(batch.num_columns)]
-                page, url, payload, refers, serial = row
-                yield pa.RecordBatch.from_arrays([pa.array(list(records(page, str(serial), url, payload, refers, segment_bytes)), pa.binary())], names=["record"])
+            for i in range(0, batch.num_rows, 64):
+                rows = zip(*(batch.column(c)[i : i + 64].to_pylist() for c in range(batch.num_columns)), strict=True)
+                made = [r for page, url, payload, refers, serial in rows for r in records(page, str(serial), url, payload, refers, segment_bytes)]
+                yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["record"])
 
     typed = with_types(pages, least).withColumn("_serial", F.expr("uuid()"))
     lines = typed.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
@@ -133,52 +136,63 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = head + 4 + n
 
 
-_PART = "origin string, kind string, page_id long, refers string, digest string, seg int, total long, block binary"
+def opened(kind: str, page: int | None, block: bytes, digest: str | None) -> tuple[bytes, int, str | None]:
+    """Payload, its full length and its digest, of a whole record's block."""
+    head, _, body = block.partition(b"\r\n\r\n")
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(END)[1:])}
+    if kind == "revisit":
+        return b"", int(fields.get(b"content-length", b"0")), digest
+    body = dechunked(body) if fields.get(b"transfer-encoding", b"").lower() == b"chunked" else body
+    found = payload_digest(body)
+    if digest and digest != found:
+        raise ValueError(f"the payload of page {page} doesn't have its digest")
+    return body, len(body), found
+
+
+_ROW = pa.schema([("page_id", pa.int64()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+_PART = pa.schema([*_ROW, ("origin", pa.string()), ("seg", pa.int32()), ("total", pa.int64()), ("block", pa.binary())])
+_SQL = {"int64": "long", "binary": "binary", "string": "string", "int32": "int"}
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload, payload_bytes, payload_digest, record_type, refers_to of every page in the archives."""
+def _sql(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {_SQL[str(f.type)]}" for f in schema)
+
+
+def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+    """page_id, payload (empty unless asked for), payload_bytes, payload_digest, record_type, refers_to of every page in
+    the archives. Records of one segment are opened where their file is parsed; only segments of longer ones move."""
 
     def segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 rows = []
                 for f, block in parse(zlib.decompress(batch.column(0)[i].as_py(), 47)):
-                    if f["warc-type"] in ("response", "revisit", "continuation"):
-                        own = f["warc-record-id"].strip("<>")
-                        rows.append({"origin": f.get("warc-segment-origin-id", own).strip("<>"), "kind": f["warc-type"], "page_id": int(f["page-id"]) if "page-id" in f else None, "refers": f.get("warc-refers-to", "").strip("<>") or None, "digest": f.get("warc-payload-digest", "").removeprefix("sha1:") or None, "seg": int(f.get("warc-segment-number", 0)), "total": int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None, "block": block})
+                    kind = f["warc-type"]
+                    if kind not in ("response", "revisit", "continuation"):
+                        continue
+                    page, digest = int(f["page-id"]) if "page-id" in f else None, f.get("warc-payload-digest", "").removeprefix("sha1:") or None
+                    refers, seg = f.get("warc-refers-to", "").strip("<>").removeprefix("urn:page:"), int(f.get("warc-segment-number", 0))
+                    total = f.get("warc-segment-total-length")
+                    payload, n = b"", None
+                    if seg == 0:
+                        payload, n, digest = opened(kind, page, block, digest)
+                    rows.append((page, payload if with_payload else b"", n, digest, kind, int(refers) if refers else None, f.get("warc-segment-origin-id", f["warc-record-id"]).strip("<>"), seg, int(total) if total else None, block if seg else None))
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("origin", pa.string()), ("kind", pa.string()), ("page_id", pa.int64()), ("refers", pa.string()), ("digest", pa.string()), ("seg", pa.int32()), ("total", pa.int64()), ("block", pa.binary())]))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PART.types, strict=True)], schema=_PART)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    parts = files.mapInArrow(segments, _PART)
-    single = parts.where("seg = 0").select("kind", "page_id", "refers", "digest", "block", F.lit(True).alias("whole"))
-    several = (
-        parts.where("seg > 0")
-        .groupBy("origin")
-        .agg(
-            F.sort_array(F.collect_list(F.struct("seg", "block"))).alias("parts"),  # one record's segments: one cell of the source
-            *(F.max(F.when(F.col("seg") == 1, F.col(c))).alias(c) for c in ("kind", "page_id", "refers", "digest")),
-            F.max("total").alias("total"),
-        )
-        .select("kind", "page_id", "refers", "digest", F.expr("cast(array_join(transform(parts, p -> cast(p.block as string)), '') as binary)").alias("block"), F.expr("total is not null and kind is not null and size(parts) = element_at(parts, -1).seg and aggregate(parts, 0L, (a, p) -> a + length(p.block)) = total").alias("whole"))
-    )
-
-    def payloads(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = materialize(spark, files.mapInArrow(segments, _sql(_PART)), "records")
+    first = lambda c: F.max(F.when(F.col("seg") == 1, F.col(c))).alias(c)
+    several = parts.where("seg > 0").groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("seg", "block"))).alias("parts"), *map(first, ("page_id", "payload_digest", "record_type", "refers_to")), F.max("total").alias("total"))  # one record's segments: one cell of the source
+    whole = "total is not null and record_type is not null and size(parts) = element_at(parts, -1).seg and aggregate(parts, 0L, (a, p) -> a + length(p.block)) = total"
+    several = several.select("page_id", "record_type", "payload_digest", "refers_to", F.expr("transform(parts, p -> p.block)").alias("blocks"), F.expr(whole).alias("whole"))
+
+    def joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 if not row["whole"]:
                     raise ValueError(f"segments of page {row['page_id']} are missing or don't have the total length")
-                head, _, body = row["block"].partition(b"\r\n\r\n")
-                fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(END)[1:])}
-                if row["kind"] == "revisit":
-                    body, n, digest = b"", int(fields.get(b"content-length", b"0")), row["digest"]
-                else:
-                    body = dechunked(body) if fields.get(b"transfer-encoding", b"").lower() == b"chunked" else body
-                    n, digest = len(body), payload_digest(body)
-                    if row["digest"] and digest != row["digest"]:
-                        raise ValueError(f"the payload of page {row['page_id']} doesn't have its digest")
-                refers = int(row["refers"].removeprefix("urn:page:")) if row["refers"] else None
-                yield pa.RecordBatch.from_pylist([{"page_id": row["page_id"], "payload": body, "payload_bytes": n, "payload_digest": digest, "record_type": row["kind"], "refers_to": refers}], schema=pa.schema([("page_id", pa.int64()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]))
-
-    return single.unionByName(several).mapInArrow(payloads, "page_id long, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+                payload, n, digest = opened(row["record_type"], row["page_id"], b"".join(row["blocks"]), row["payload_digest"])
+                yield pa.RecordBatch.from_pylist([{"page_id": row["page_id"], "payload": payload if with_payload else b"", "payload_bytes": n, "payload_digest": digest, "record_type": row["record_type"], "refers_to": row["refers_to"]}], schema=_ROW)
+
+    return parts.where("seg = 0").select(_ROW.names).unionByName(several.mapInArrow(joined, _sql(_ROW)))
