@@ -2,8 +2,8 @@
 
 A text is the sequence of its shingles of five words, each labelled with its number of earlier occurrences in the text. A
 sketch of it keeps the `few` least labelled shingles under one hash, in text order, so it is sensitive to edits that move
-words. Two sketches make a band; texts that agree in a band are candidates. In each band's group the least id leads: all
-others are compared with it, which links most copies. Jaccard distance is a metric, so two members can only be near if
+words. Two sketches make a band; texts that agree in a band are candidates. In each band's group the text with the most
+candidates leads (an original among its copies): all others are compared with it, which links most copies. Jaccard distance is a metric, so two members can only be near if
 their distances from the leader differ by at most 1 - threshold; only such pairs that are not yet in one class are
 compared after that. No group is expanded into all its pairs.
 
@@ -162,11 +162,15 @@ def near_duplicates(documents: DataFrame, least: float = 0.8, k: int = 5, bands:
     member = materialize(spark, made.select("doc_id", "same").distinct().join(heads, "same").select("doc_id", "rep"), "members")
     reps = made.join(heads.select(F.col("rep").alias("doc_id"), "same"), ["doc_id", "same"], "left_semi").dropDuplicates(["doc_id", "same"])
     rows = reps.select(F.col("doc_id").alias("node"), "n", F.explode("keys").alias("key"))
-    groups = rows.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.count("*").alias("c")).where("c > 1").select("key", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"))
-    groups = materialize(spark, groups, "leads")  # a written table: the join below is one whose hot keys Spark can split
-    rows = materialize(spark, rows.join(groups, "key"), "groups")
+    # written tables: the joins below are such whose hot keys Spark can split
+    groups = materialize(spark, rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "sizes")
+    rows = materialize(spark, rows.join(groups, "key"), "shared")
+    rows = rows.join(rows.groupBy("node").agg(F.sum("c").alias("score")), "node").drop("c")
+    best = F.max(F.struct("score", (-F.col("node")).alias("minus"), "n"))
+    leads = materialize(spark, rows.groupBy("key").agg(best.alias("_l")).select("key", (-F.col("_l.minus")).alias("lead"), F.col("_l.n").alias("lead_n")), "leads")
+    rows = materialize(spark, rows.join(leads, "key"), "groups")
     sized = lambda x, y: F.least(x, y) >= least * F.greatest(x, y)
-    pairs = rows.where(F.col("lead") < F.col("node")).where(sized(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = rows.where(F.col("lead") != F.col("node")).where(sized(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     pairs = materialize(spark, pairs, "pairs")
     ids = rows.select("node").distinct()
     texts = materialize(spark, docs.join(ids.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").distinct(), "texts")
