@@ -28,9 +28,9 @@ UNITS = "mm cm m km in ft yd mi mg g kg t lb lbs oz ml cl l gal s sec min h hr h
 def marked(text: Column) -> Column:
     """The template tokens of a text, joined by blanks; a slot is § with its type (n, u, a) and its value."""
     t = F.translate(F.coalesce(text, F.lit("")), "§", " ")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll},;:] )\p{Lu}[\p{Ll}'’]+", "§a$0")
-    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}§.,])([0-9][0-9.,]*)[ ]?(?i:({'|'.join(sorted(UNITS, key=len, reverse=True))})|%)(?![\p{{L}}\p{{N}}])", "§u$1¦$2")
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}§.,])[0-9](?:[0-9.,]*[0-9])?(?![\p{L}\p{N}¦])", "§n$0")
+    t = F.regexp_replace(t, r"(?=\p{Lu})(?<=[\p{Ll},;:] )\p{Lu}[\p{Ll}'’]+", "§a$0")
+    t = F.regexp_replace(t, rf"(?=[0-9])(?<![\p{{L}}\p{{N}}§.,])([0-9][0-9.,]*)[ ]?(?i:({'|'.join(sorted(UNITS, key=len, reverse=True))})|%)(?![\p{{L}}\p{{N}}])", "§u$1¦$2")
+    t = F.regexp_replace(t, r"(?=[0-9])(?<![\p{L}\p{N}§.,])[0-9](?:[0-9.,]*[0-9])?(?![\p{L}\p{N}¦])", "§n$0")
     return F.trim(F.regexp_replace(F.lower(t), r"(?:(?![\p{L}\p{N}§¦]|(?<=[0-9])[.,](?=[0-9])).)+", " "))
 
 
@@ -60,14 +60,15 @@ def leaks(documents: DataFrame, benchmark: DataFrame, window: int = 8, cover: fl
     docs = templates(documents.select("doc_id", F.xxhash64("text").alias("t"), "text")).select("doc_id", "t", "_t")
     short = [r["n"] for r in items.where((F.size("_t") < window) & (F.size("_t") >= literals)).select(F.size("_t").alias("n")).distinct().collect()]  # fewer than `window`
     literal = lambda a, i, size: F.size(F.filter(F.slice(a, i + 1, F.lit(size)), lambda w: ~w.startswith("§"))) >= literals
+    # outer generators: an inner one makes Spark infer a filter on the array, which is pushed down with its whole formula
     hits = None
     for size in [window, *sorted(short)]:
         own = items.where(F.size("_t") >= window if size == window else F.size("_t") == size)
-        index = _windows(own, size, ["item_id", "_i", "_t"]).select("item_id", "_i", "_t", F.posexplode("_w").alias("at", "h"))
+        index = _windows(own, size, ["item_id", "_i", "_t"]).select("item_id", "_i", "_t", F.posexplode_outer("_w").alias("at", "h")).where("h is not null")
         index = index.where(literal(F.col("_t"), F.col("at"), size)).select("h", "item_id", "_i", "at")
         index = materialize(spark, index, "windows")
         index = F.broadcast(index) if index.count() <= most else index
-        found = _windows(docs, size, ["doc_id", "t"]).select("doc_id", "t", F.posexplode("_w").alias("pos", "h")).join(index, "h")
+        found = _windows(docs, size, ["doc_id", "t"]).select("doc_id", "t", F.posexplode_outer("_w").alias("pos", "h")).join(index, "h")
         found = found.select("doc_id", "t", "item_id", "_i", (F.col("pos") - F.col("at")).alias("off"), "at", F.lit(size).alias("size"))
         hits = found if hits is None else hits.unionByName(found)
     runs = hits.groupBy("doc_id", "t", "item_id", "_i", "off").agg(F.array_sort(F.collect_set(F.struct("at", "size"))).alias("at"))  # at most an item's windows
