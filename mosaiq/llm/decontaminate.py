@@ -31,7 +31,7 @@ def marked(text: Column) -> Column:
     t = F.regexp_replace(t, r"(?=\p{Lu})(?<=[\p{Ll},;:] )\p{Lu}[\p{Ll}'’]+", "§a$0")
     t = F.regexp_replace(t, rf"(?=[0-9])(?<![\p{{L}}\p{{N}}§.,])([0-9][0-9.,]*)[ ]?(?i:({'|'.join(sorted(UNITS, key=len, reverse=True))})|%)(?![\p{{L}}\p{{N}}])", "§u$1¦$2")
     t = F.regexp_replace(t, r"(?=[0-9])(?<![\p{L}\p{N}§.,])[0-9](?:[0-9.,]*[0-9])?(?![\p{L}\p{N}¦])", "§n$0")
-    return F.trim(F.regexp_replace(F.lower(t), r"(?:(?![\p{L}\p{N}§¦]|(?<=[0-9])[.,](?=[0-9])).)+", " "))
+    return F.trim(F.regexp_replace(F.lower(t), r"(?s)(?:(?![\p{L}\p{N}§¦]|(?<=[0-9])[.,](?=[0-9])).)+", " "))
 
 
 def templates(texts: DataFrame) -> DataFrame:
