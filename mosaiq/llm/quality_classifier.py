@@ -62,11 +62,23 @@ def _columns(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return (words.hash >> np.uint64(48)).astype(np.int64) % BUCKETS, np.repeat(1.0 / np.sqrt(np.maximum(n, 1)), n)
 
 
-def fit(words: Words, y: np.ndarray, rounds: int = 300, ridge: float = 1e-3) -> np.ndarray:
+Sample = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def sample_features(texts: pa.ChunkedArray) -> Sample:
+    """Shape, and text number, bucket and weight of each word, made slice by slice so that memory stays small."""
+    parts = []
+    for i, _, data, bounds in text_slices(texts):
+        words = Words(data, bounds, lower=True)
+        col, value = _columns(words)
+        parts.append((shape(words), (i + words.doc()).astype(np.int32), col.astype(np.int32), value.astype(np.float32)))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))  # type: ignore[return-value]
+
+
+def fit(sample: Sample, y: np.ndarray, rounds: int = 300, ridge: float = 1e-3) -> np.ndarray:
     """Weights (intercept, shape, buckets) of a logistic model by Adam on all rows at once."""
-    dense = np.concatenate([np.ones((len(y), 1)), shape(words)], axis=1)
-    col, value = _columns(words)
-    row = words.doc()
+    form, row, col, value = sample
+    dense = np.concatenate([np.ones((len(y), 1)), form], axis=1)
     m = dense.shape[1]
     w = np.zeros(m + BUCKETS)
     first, second = np.zeros_like(w), np.zeros_like(w)
@@ -97,8 +109,7 @@ def train(documents: DataFrame, labels: DataFrame, most: int = 6000) -> dict[str
         rows = sample.filter(sample.column(column).is_valid())
         y = rows.column(column).to_numpy().astype(float)
         if 0 < y.sum() < len(y):
-            ((_, _, data, bounds),) = text_slices(rows.column("text"), 1 << 62)
-            out[name] = fit(Words(data, bounds, lower=True), y)
+            out[name] = fit(sample_features(rows.column("text")), y)
     return out
 
 
