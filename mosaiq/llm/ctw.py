@@ -148,6 +148,17 @@ def _word_scores(words: DataFrame, model: DataFrame, depth: int, most: int = 1 <
     return spelled.join(model, ["d", "ctx", "byte"]).groupBy("w").agg((F.sum("lp") / _LN10).alias("s"))
 
 
+def _frequent(scored: DataFrame, head: int) -> int:
+    """The least size class (16 for each doubling of the count) such that at most `head` words are in it or above."""
+    left, least = head, 1 << 20
+    for r in scored.groupBy("_size").agg(F.count("*").alias("n")).orderBy(F.desc("_size")).collect():  # about 1000 classes at most
+        left -= r["n"]
+        if left < 0:
+            break
+        least = r["_size"]
+    return least
+
+
 def score(documents: DataFrame, folds: int = 7, fold: int = 2, depth: int = 4, head: int = 1 << 18) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row."""
     spark = documents.sparkSession
@@ -158,10 +169,11 @@ def score(documents: DataFrame, folds: int = 7, fold: int = 2, depth: int = 4, h
     total, distinct = total + trained, distinct + (trained > 0)
     known = vocabulary.unionByName(spark.createDataFrame([(0, END, trained)], "w long, word binary, c long"))
     model = materialize(spark, byte_model(known, depth), "model")
-    scored = materialize(spark, known.select("w", "c").join(_word_scores(known, model, depth), "w"), "scores")
+    size = F.floor(F.log2(F.col("c") + 1) * 16).cast("int")
+    scored = materialize(spark, known.select("w", "c").join(_word_scores(known, model, depth), "w").withColumn("_size", size), "scores")
     end_s = scored.where("w = 0").first()["s"]
     floor = math.log10(total + distinct + 1)
-    top = scored.where("w <> 0").orderBy(F.desc("c"), "w").limit(head).toArrow()  # head rows at most
+    top = scored.where(F.col("_size") >= _frequent(scored.where("w <> 0"), head)).where("w <> 0").drop("_size").toArrow()  # head rows at most
     order = np.argsort(top.column("w").to_numpy())
     frequent = spark.sparkContext.broadcast(tuple(top.column(c).to_numpy()[order] for c in ("w", "c", "s")))
 
