@@ -43,6 +43,21 @@ def test_op3_planted(spark):
     assert got[100, 50] is False and got[3, 3] is True
 
 
+def _leaked(spark, item, *texts):
+    got = pairs(decontaminate.leaks(documents(spark, list(enumerate(texts))), spark.createDataFrame([(0, item)], "item_id long, text string")))
+    return sorted(d for d, _ in got)
+
+
+def test_op3_passages_and_broken_copies(spark):
+    w = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    passage = "so it goes on " + " ".join(w[20:33]) + " and then ends"
+    inserted = " ".join([*w[:20], "quite", *w[20:40], "so", "very", *w[40:]])
+    broken = " ".join(x for i in range(0, 60, 12) for x in [*w[i : i + 10], "xx", "yy"])  # runs of ten, 50 of 60 tokens
+    item = "the tall old farmer from the far north {a} sold some green apples there and then went home {b} carried them out again"
+    assert _leaked(spark, " ".join(w), passage, inserted, broken, " ".join(w[20:32])) == [0, 1, 2]
+    assert _leaked(spark, item.format(a="anna", b="bob"), item.format(a="anna of kent", b="mary jane smith")) == [0]
+
+
 def test_op3_finds_whole_items_and_spares_the_rest(spark):
     docs, bench = table(spark, SF, "documents"), table(spark, SF, "benchmark")
     got = set(pairs(decontaminate.leaks(docs, bench)))
