@@ -58,6 +58,12 @@ def test_op3_passages_and_broken_copies(spark):
     assert _leaked(spark, item.format(a="anna", b="bob"), item.format(a="anna of kent", b="mary jane smith")) == [0]
 
 
+def test_op3_names_that_begin_sentences(spark):
+    item = "{a} has 12 apples. {b} buys 5 apples. {a} gives 3 to {b}. \"{a} has how many apples now?\" asks {b}."
+    other = item.format(a="Zoe", b="Max").replace("12", "70").replace("5", "8").replace("3", "9")
+    assert _leaked(spark, item.format(a="Anna", b="Bob"), other, other.replace("Max buys", "Zoe buys"), f"question: {other}") == [0, 2]
+
+
 def test_op3_finds_whole_items_and_spares_the_rest(spark):
     docs, bench = table(spark, SF, "documents"), table(spark, SF, "benchmark")
     got = set(pairs(decontaminate.leaks(docs, bench)))
