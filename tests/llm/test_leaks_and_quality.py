@@ -64,6 +64,12 @@ def test_op3_names_that_begin_sentences(spark):
     assert _leaked(spark, item.format(a="Anna", b="Bob"), other, other.replace("Max buys", "Zoe buys"), f"question: {other}") == [0, 2]
 
 
+def test_op3_exact_copies_of_short_and_slot_rich_items(spark):
+    assert _leaked(spark, "What is the capital city of France", "we were asked in the question: What is the capital city of France and more") == [0]
+    assert _leaked(spark, "12 + 13 = 25, 14 + 15 = 29", "see 12 + 13 = 25, 14 + 15 = 29 here", "see 13 + 13 = 26, 14 + 16 = 30 here") == [0]
+    assert _leaked(spark, "Anna Bob Carl", "then Anna Bob Carl left", "then Anna Bob Max left") == [0]
+
+
 def test_op3_finds_whole_items_and_spares_the_rest(spark):
     docs, bench = table(spark, SF, "documents"), table(spark, SF, "benchmark")
     got = set(pairs(decontaminate.leaks(docs, bench)))
