@@ -10,7 +10,8 @@ Reading: each archive file is parsed by its Content-Length fields; records of se
 ordered by segment number, joined and held against the total length; then the chunked framing is decoded.
 
 Cases: null html is the empty payload; a null page_id is written without a page header and comes back null; a null url
-is written as about:blank; repeated rows give a record each (equal page_ids are each other's response); payloads of any
+is written as about:blank; repeated rows give a record each, with an id of its own (rows of one page_id and payload
+are responses, revisits refer to one of them); payloads of any
 length and with any bytes, WARC headers included, come back whole; a missing segment or a wrong length raises an
 error; an empty table gives no records.
 """
@@ -58,13 +59,27 @@ def dechunked(body: bytes) -> bytes:
 
 
 def with_types(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, url, payload (binary), refers_to: the page_id of the response for revisits, else null. Groups are
+    """page_id, url, payload (binary), refers_to: the page_id of the response for revisits, else null; serial: what tells
+    the records of one page_id and payload apart, 0 for the one response that others can refer to. Groups are
     pre-aggregated by digest and length, and only groups of several pages are joined."""
+    spark = pages.sparkSession
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     base = pages.select("page_id", "url", html.alias("payload")).withColumns({"_sha": F.sha2("payload", 256), "_n": F.length("payload")})
-    groups = base.groupBy("_sha", "_n").agg(F.max("page_id").alias("_top"), F.count("*").alias("_c")).where(f"_c > 1 and _n >= {int(least)}").select("_sha", "_n", "_top")
-    groups = materialize(pages.sparkSession, groups, "payloads")  # so that the join's hot payloads can be split
-    return base.join(groups, ["_sha", "_n"], "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("_top")), F.col("_top")).alias("refers_to"))
+    ids = base.groupBy("_sha", "_n", "page_id").agg(F.count("*").alias("_c"))
+    groups = ids.groupBy("_sha", "_n").agg(F.max(F.struct("page_id", "_c")).alias("_l"), F.sum("_c").alias("_c")).where(f"_c > 1 and _n >= {int(least)}")
+    groups = groups.select("_sha", "_n", F.col("_l.page_id").alias("_top"), (F.col("_l._c") > 1).alias("_again"))
+    groups = materialize(spark, groups, "payloads")  # so that the join's hot payloads can be split
+    rows = base.join(groups, ["_sha", "_n"], "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("_top")), F.col("_top")))
+    repeated = F.coalesce(F.col("_again"), F.lit(False)) & F.col("page_id").isNotNull() & F.col("refers_to").isNull()
+    serial = F.when(F.col("page_id").isNull() | F.col("refers_to").isNotNull() | (F.col("_n") < least), F.expr("uuid()")).otherwise("0")
+    names = ["page_id", "url", "payload", "refers_to", "serial"]
+    if groups.where("_again and _top is not null").isEmpty():
+        return rows.withColumn("serial", serial).select(names)
+    # repeated responses: their serials are written before the least of each group becomes 0
+    again = materialize(spark, rows.where(repeated).withColumn("serial", F.expr("uuid()")).select("_sha", "_n", *names), "again")
+    lead = again.groupBy("_sha", "_n").agg(F.min("serial").alias("_lead"))
+    again = again.join(lead, ["_sha", "_n"]).withColumn("serial", F.when(F.col("serial") == F.col("_lead"), "0").otherwise(F.col("serial")))
+    return rows.where(~repeated).withColumn("serial", serial).select(names).unionByName(again.select(names))
 
 
 def _record(kind: str, name: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
@@ -75,15 +90,15 @@ def _record(kind: str, name: str, fields: list[tuple[str, str]], block: bytes) -
 
 def records(page_id: int | None, serial: str, url: str | None, payload: bytes, refers_to: int | None, segment_bytes: int) -> Iterator[bytes]:
     """The record, or the segments, of one page."""
-    name = f"urn:page:{page_id}" if page_id is not None else f"urn:row:{serial}"
     digest = payload_digest(payload)
+    name = f"urn:page:{page_id}:{digest}:{serial}" if page_id is not None else f"urn:row:{serial}"
     url = re.sub(r"[\x00-\x20]+", "%20", url or "about:blank")
     fields = [("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if page_id is not None:
         fields.append(("Page-ID", str(page_id)))
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if refers_to is not None:
-        more = [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("Content-Type", "application/http;msgtype=response")]
+        more = [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}:{digest}:0>"), ("Content-Type", "application/http;msgtype=response")]
         yield _record("revisit", name, fields + more, http + b"Content-Length: %d\r\n\r\n" % len(payload))
         return
     block = http + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload)
@@ -110,8 +125,7 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = 1 << 16, re
                 made = [r for page, url, payload, refers, serial in rows for r in records(page, str(serial), url, payload, refers, segment_bytes)]
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["record"])
 
-    typed = with_types(pages, least).withColumn("_serial", F.expr("uuid()"))
-    lines = typed.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
+    lines = with_types(pages, least).mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
     lines.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
@@ -171,7 +185,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
                     if kind not in ("response", "revisit", "continuation"):
                         continue
                     page, digest = int(f["page-id"]) if "page-id" in f else None, f.get("warc-payload-digest", "").removeprefix("sha1:") or None
-                    refers, seg = f.get("warc-refers-to", "").strip("<>").removeprefix("urn:page:"), int(f.get("warc-segment-number", 0))
+                    refers, seg = f.get("warc-refers-to", "").strip("<>").removeprefix("urn:page:").partition(":")[0], int(f.get("warc-segment-number", 0))
                     total = f.get("warc-segment-total-length")
                     payload, n = b"", None
                     if seg == 0:

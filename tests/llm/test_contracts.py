@@ -181,6 +181,18 @@ def test_op6(spark, tmp_path):
     assert got == want
 
 
+def test_op6_repeated_rows_of_several_segments(spark, tmp_path):
+    from collections import Counter as Count
+
+    rows = [(7, "u", "é" * 9000)] * 3 + [(5, "u", "é" * 9000)] * 2 + [(7, "u", "è" * 9000), (7, "v", "y"), (None, "u", "z" * 9000), (None, "u", "z" * 9000)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "a"), segment_bytes=1000)
+    got = Count((r["page_id"], bytes(r["payload"]).decode(), r["record_type"], r["refers_to"]) for r in warc.read_archives(spark, str(tmp_path / "a")).collect())
+    assert got == {(7, "é" * 9000, "response", None): 3, (5, "", "revisit", 7): 2, (7, "è" * 9000, "response", None): 1, (7, "y", "response", None): 1, (None, "z" * 9000, "response", None): 2}
+    heads = [f for p in (tmp_path / "a").glob("part-*") for f, _ in warc.parse(zlib.decompress(p.read_bytes(), 47))]
+    ids = [f["warc-record-id"] for f in heads]
+    assert len(ids) == len(set(ids)) and {f["warc-refers-to"] for f in heads if "warc-refers-to" in f} <= set(ids)
+
+
 def test_op6_faults(spark, tmp_path):
     body = b"".join(b + b"\r\n" for b in warc.records(1, "s", "u", b"x" * 5000, None, 1000))
     assert warc.dechunked(b"3;q\r\nabc\r\n0\r\nT: 1\r\n\r\n") == b"abc"
