@@ -162,6 +162,20 @@ def test_op5_group_of_strangers_in_one_band(spark):
     assert rng
 
 
+def test_op5_reordered_texts_are_candidates():
+    from mosaiq.llm._common import mix
+
+    rng = np.random.default_rng(6)
+    missed = 0
+    for _ in range(300):
+        a = mix(rng.integers(0, 1 << 62, 180).astype(np.uint64))
+        b = np.concatenate([a[:160], mix(rng.integers(0, 1 << 62, 20).astype(np.uint64))])  # 160 of 200 shared
+        b = np.concatenate(np.split(b, 10)[::-1])
+        keys = near_dups.band_keys(np.concatenate([a, b]), np.array([0, 180, 360]), 24)
+        missed += not (keys[0] == keys[1]).any()
+    assert missed == 0
+
+
 def test_op5_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 50), (7, 7)]
     got = {tuple(r) for r in near_dups.components(spark.createDataFrame(edges, "a long, b long")).collect()}
