@@ -1,5 +1,6 @@
 """Plain Python versions of the operators' contracts, over (doc_id, text) rows."""
 
+import bisect
 import hashlib
 import math
 import re
@@ -119,17 +120,21 @@ class Ctw:
         return total
 
 
-def jaccard(a, b, k=5):
-    """Similarity of two texts by occurrence-labelled shingles."""
+def alignment(a, b, k=5):
+    """Similarity of two texts by their longest common subsequence of occurrence-labelled shingles."""
 
-    def bag(text):
+    def labelled(text):
         w = words(text)
         seen = Counter()
-        out = set()
+        out = {}
         for s in [tuple(w[i : i + k]) for i in range(len(w) - k + 1)] or ([tuple(w)] if w else []):
-            out.add((s, seen[s]))
+            out[s, seen[s]] = len(out)
             seen[s] += 1
         return out
 
-    x, y = bag(a), bag(b)
-    return len(x & y) / len(x | y) if x | y else float(a == b)
+    x, y = labelled(a), labelled(b)
+    tails = []
+    for p in (y[s] for s in x if s in y):
+        i = bisect.bisect_left(tails, p)
+        tails[i : i + 1] = [p]
+    return len(tails) / (len(x) + len(y) - len(tails)) if x or y else float(a == b)

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from brute import Ctw, fold, jaccard, lower, op1, op4, op9, op10_base, words
+from brute import Ctw, alignment, fold, lower, op1, op4, op9, op10_base, words
 
 from mosaiq.llm import ctw, near_dups, packing, quality_rules, queries, secrets, substring_dedup, token_counts, warc
 
@@ -143,7 +143,7 @@ def test_op5(spark, small):
         known = [(d, t or "") for d, t in rows if d is not None]
         for i, (d, t) in enumerate(known):
             for e, u in known[:i]:
-                if t == u or abs(len(t) - len(u)) <= 0.6 * max(len(t), len(u)) and jaccard(t, u) >= 0.8:
+                if t == u or abs(len(t) - len(u)) <= 0.6 * max(len(t), len(u)) and alignment(t, u) >= 0.8:
                     a, b = sorted((root(d), root(e)))
                     parent[b] = a
         assert {(r["doc_id"], r["class_id"]) for r in got if r["doc_id"] is not None} == {(d, root(d)) for d in parent}
@@ -162,20 +162,76 @@ def test_op5_group_of_strangers_in_one_band(spark):
     assert rng
 
 
-def test_op5_reordered_texts_are_candidates():
+def classes_by_brute_force(rows):
+    parent = {d: d for d, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (d, t) in enumerate(rows):
+        for e, u in rows[:i]:
+            if t == u or alignment(t, u) >= 0.8:
+                a, b = sorted((root(d), root(e)))
+                parent[b] = a
+    return {d: root(d) for d in parent}
+
+
+def test_op5_order_decides():
+    """Four blocks in reversed order share nearly all shingles, and aren't near; a band as wide as the threshold allows."""
+    rng = np.random.default_rng(6)
+    a = rng.permutation(1 << 20)[:400].astype(np.uint64)
+    b = np.concatenate(np.split(a, 4)[::-1])
+    run, shared = near_dups.aligned(a, b, 0.8)
+    assert run <= 100 and shared.all()
+    gone = np.delete(a, rng.choice(400, 80, replace=False))  # 320 of 400
+    assert near_dups.aligned(a, gone, 0.8)[0] == 320 >= near_dups.needed(400, 320, 0.8)
+
+
+def test_op5_candidates():
+    """Aligned pairs at the threshold agree in some band."""
     from mosaiq.llm._common import mix
 
     rng = np.random.default_rng(6)
     missed = 0
     for _ in range(300):
         a = mix(rng.integers(0, 1 << 62, 180).astype(np.uint64))
-        b = np.concatenate([a[:160], mix(rng.integers(0, 1 << 62, 20).astype(np.uint64))])  # 160 of 200 shared
-        b = np.concatenate(np.split(b, 10)[::-1])
+        b = a.copy()
+        b[rng.choice(180, 20, replace=False)] = mix(rng.integers(0, 1 << 62, 20).astype(np.uint64))  # 160 of 200 shared
         keys = near_dups.band_keys(np.concatenate([a, b]), np.array([0, 180, 360]), 24)
         missed += not (keys[0] == keys[1]).any()
     assert missed == 0
 
 
+@pytest.mark.parametrize("small", [2, 64])
+def test_op5_large_group_of_copies(spark, small):
+    """Copies of one text that are near to it or not, copies of such copies, cut ones, and the blocks of it moved: with
+    leaders alone and with small groups compared pairwise, the classes are those of all pairs."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(9000)}" for _ in range(90)]
+
+    def edited(w, n):
+        w = list(w)
+        for _ in range(n):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        return w
+
+    texts = [base] + [edited(base, rng.randrange(1, 6)) for _ in range(70)]
+    for _ in range(8):
+        child = edited(base, rng.randrange(3, 7))
+        texts += [child, edited(child, 1), edited(child, 1)]
+    texts += [base[: rng.randrange(45, 90)] for _ in range(12)] + [base[rng.randrange(1, 30) :] for _ in range(8)]
+    for _ in range(4):
+        cut = rng.randrange(20, 70)
+        moved = base[cut:] + base[:cut]
+        texts += [moved, edited(moved, 1), edited(moved, 2)]
+    rows = list(enumerate(dict.fromkeys(" ".join(t) for t in texts)))
+    rng.shuffle(rows)
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.near_duplicates(documents(spark, rows), small=small).collect()}
+    assert got == classes_by_brute_force(rows)
+
+
 def test_op5_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 50), (7, 7)]
     got = {tuple(r) for r in near_dups.components(spark.createDataFrame(edges, "a long, b long")).collect()}
