@@ -23,8 +23,10 @@ Exact copies are merged first. Then groups of candidates (cells) are resolved wi
 3. A text that shares enough shingles with l, but in another order (moved), is sketched again with fresh hashes and four
    shingles a sketch, together with the texts linked to l, and cells of these keys follow.
 
-Cells of at most `small` texts are compared pairwise (at most `small` pairs a row), larger ones get a leader again, without
-the leaders before, so this ends. Pairs whose classes are known to be one are passed over.
+Cells of at most 4 `small` texts are compared pairwise, so a row has a bounded number of pairs, but only pairs that share
+enough of those shingles; larger ones get a leader again, without the leaders before. The bound is four times as large at
+each further level, so this ends soon even where no member of a cell is central. Pairs whose classes are known to be one
+are passed over.
 
 A class is a connected component of links, and its id is its least doc_id.
 
@@ -206,21 +208,23 @@ def _leaders(rows: DataFrame) -> DataFrame:
 
 
 def _pairwise(rows: DataFrame, least: float) -> DataFrame:
-    """Pairs (cell 0, a, b) within small groups, but for those of one class, of too different sizes, or with no active."""
-    x, y = (rows.select("cell", "key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp", "active"))) for s in ("x", "y"))
-    sized = F.least("n_x", "n_y") >= least * F.greatest("n_x", "n_y")
-    pairs = x.join(y, ["cell", "key"]).where((F.col("node_x") < F.col("node_y")) & (F.col("comp_x") != F.col("comp_y")) & (F.col("active_x") | F.col("active_y")) & sized)
+    """Pairs (cell 0, a, b) within small groups, but for those of one class or with no active member, and those that can't
+    share enough: at most what each shares with the old cell's leader, and one shingle for each group that they meet in."""
+    x, y = (rows.select("cell", "key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "have", "comp", "active"))) for s in ("x", "y"))
+    met = x.join(y, ["cell", "key"]).where((F.col("node_x") < F.col("node_y")) & (F.col("comp_x") != F.col("comp_y")) & (F.col("active_x") | F.col("active_y")))
+    met = met.groupBy("cell", "node_x", "node_y").agg(F.count("*").alias("keys"), F.max(F.least("have_x", "have_y")).alias("have"), F.min(F.col("n_x") + F.col("n_y")).alias("n"))
+    pairs = met.where(F.col("have") + F.col("keys") >= least / (1.0 + least) * F.col("n") - 1e-9)
     return pairs.select(F.lit(0).cast("long").alias("cell"), F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
 
 
 def _smaller(done: DataFrame, texts: DataFrame, least: float, k: int, bands: int, level: int) -> DataFrame | None:
-    """The smaller cells (cell, key, node, n, active) of compared ones with members that aren't linked to the leader."""
+    """The smaller cells (cell, key, node, n, have, active) of compared ones with members that aren't linked to the leader."""
     spark = done.sparkSession
     g = least / (1.0 + least)
     have, lack = F.col("shared"), F.col("nb") - F.col("shared")
     reach = (1.0 - g) * have - g * lack  # must be g times the other text's shingles, if they share none that the leader lacks
     far = ~F.col("linked") & (have < g * (F.col("na") + F.col("nb")) - 1e-9)
-    cells = done.where("cell <> 0").select("cell", F.col("b").alias("node"), F.col("nb").alias("n"), "linked", "novel", far.alias("far"), reach.alias("reach"))
+    cells = done.where("cell <> 0").select("cell", F.col("b").alias("node"), F.col("nb").alias("n"), have.alias("have"), "linked", "novel", far.alias("far"), reach.alias("reach"))
     bounds = cells.groupBy("cell").agg(F.max("far").alias("any_far"), F.max(~F.col("linked") & ~F.col("far")).alias("any_moved"), F.max(F.when(F.col("far"), F.col("reach"))).alias("most_far"), F.min(F.when(F.col("far"), F.col("n"))).alias("least_far"), F.max("reach").alias("most"), F.min("n").alias("least"))
     bounds = materialize(spark, bounds.where("any_far or any_moved"), "open")
     some = bounds.agg(F.max("any_far"), F.max("any_moved")).first()
@@ -230,12 +234,12 @@ def _smaller(done: DataFrame, texts: DataFrame, least: float, k: int, bands: int
         low = F.lit(g - 1e-9)
         bound = F.when(F.col("far"), (F.col("reach") >= low * F.col("least")) & (F.col("most") >= low * F.col("n"))).otherwise((F.col("most_far") >= low * F.col("n")) & (F.col("reach") >= low * F.col("least_far")))
         keys = F.when(bound, F.concat("novel", F.array(F.lit(0).cast("long")))).otherwise(F.col("novel"))
-        out.append(open_.select("cell", F.explode(keys).alias("key"), "node", "n", F.col("far").alias("active")))
+        out.append(open_.select("cell", F.explode(keys).alias("key"), "node", "n", "have", F.col("far").alias("active")))
     if some[1]:
         open_ = cells.where("not far").join(bounds.where("any_moved").select("cell"), "cell").select("cell", "node", "n", (~F.col("linked")).alias("active"))
         open_ = materialize(spark, open_, "moved")
         again = sketch(texts.join(open_.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), bands, k, 1, 4, 1000 + level)
-        out.append(open_.join(again.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key")), "node").select("cell", "key", "node", "n", "active"))
+        out.append(open_.join(again.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key")), "node").select("cell", "key", "node", "n", F.col("n").alias("have"), "active"))
     if not out:
         return None
     return out[0] if len(out) == 1 else out[0].unionByName(out[1])
@@ -270,15 +274,15 @@ def near_duplicates(documents: DataFrame, least: float = 0.8, k: int = 5, bands:
     done = materialize(spark, compare(_leaders(rows), texts, least, k), "compared")
     tables = [done.where("linked").select("a", "b")]
     label = materialize(spark, components(tables[0].unionByName(own)), "classes")
-    level = 0
+    level, most = 0, small
     while (cells := _smaller(done, texts, least, k, bands, level)) is not None:
-        level += 1
+        level, most = level + 1, 4 * most
         cells = materialize(spark, cells.distinct().join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "cells")
         groups = cells.groupBy("cell", "key").agg(F.count("*").alias("c"), F.max("active").alias("open"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("c > 1 and open and x < y").select("cell", "key", "c")
         cells = materialize(spark, cells.join(materialize(spark, groups, "groups"), ["cell", "key"]), "groups")
-        pairs = _pairwise(cells.where(F.col("c") <= small), least)
-        if not cells.where(F.col("c") > small).isEmpty():
-            pairs = pairs.unionByName(_leaders(cells.where(F.col("c") > small)))
+        pairs = _pairwise(cells.where(F.col("c") <= most), least)
+        if not cells.where(F.col("c") > most).isEmpty():
+            pairs = pairs.unionByName(_leaders(cells.where(F.col("c") > most)))
         done = materialize(spark, compare(pairs, texts, least, k), "compared")
         more = done.where("linked").select("a", "b")
         if not more.isEmpty():
