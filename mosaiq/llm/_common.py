@@ -56,10 +56,8 @@ def byte_of_char() -> dict[str, int]:
 # -- vectorised word hashing --------------------------------------------------------------------------------------
 
 _M64 = (1 << 64) - 1
-_P = 0x9E3779B97F4A7C15 | 1
 _Q = 0xC2B2AE3D27D4EB4F | 1
-_PI, _QI = pow(_P, -1, 1 << 64), pow(_Q, -1, 1 << 64)
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_QI = pow(_Q, -1, 1 << 64)
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -84,6 +82,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_SEED = np.uint64(0x2545F4914F6CDD1D)
+_PLACED = mix(np.arange(64 * 256, dtype=np.uint64) * np.uint64(2) + _SEED)
+
+
+def _placed(at: np.ndarray) -> np.ndarray:
+    """A random number for each place and byte (256 * place + byte). They are summed to a word's hash, so, unlike with powers
+    of a base modulo 2**64, no pattern of letters makes different words equal."""
+    if not len(at) or at.max() < len(_PLACED):
+        return _PLACED[at]
+    return mix(at.astype(np.uint64) * np.uint64(2) + _SEED)
+
+
 class Words:
     """The words of some texts laid end to end: byte bounds, 64-bit hashes, and the first word of each text."""
 
@@ -97,9 +107,13 @@ class Words:
         begin[inner] |= full[inner]
         end[inner - 1] |= full[inner - 1]
         self.start, self.end = np.flatnonzero(begin), np.flatnonzero(end) + 1
-        total = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[_LOWER[data] if lower else data] * _power(_P, len(data)), out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * _power(_PI, len(data) + 1)[self.start])
+        size = self.end - self.start
+        after = np.cumsum(size)
+        body = data[full]
+        place = np.arange(len(body)) - np.repeat(after - size, size)
+        total = np.zeros(len(body) + 1, dtype=np.uint64)
+        np.cumsum(_placed((place << 8) + (_LOWER[body] if lower else body)), out=total[1:])
+        self.hash = mix(total[after] - total[after - size] + size.astype(np.uint64) * _SEED)
         self.first = np.searchsorted(self.start, bounds)
         self._sums: np.ndarray | None = None
 

@@ -232,6 +232,21 @@ def test_op5_large_group_of_copies(spark, small):
     assert got == classes_by_brute_force(rows)
 
 
+def test_word_hashes():
+    """Words of one multiset of letters, and Thue-Morse words, which any power of an odd base modulo 2**64 confuses."""
+    from mosaiq.llm._common import Words
+
+    morse = "a"
+    while len(morse) < 4096:
+        morse += morse.translate(str.maketrans("ab", "ba"))
+    made = ["ab", "ba", "abc", "acb", "a" * 70 + "b", "b" + "a" * 70, morse, morse.translate(str.maketrans("ab", "ba")), "AB"]
+    raw = " ".join(made).encode()
+    bounds = np.array([0, len(raw)])
+    h = Words(np.frombuffer(raw, dtype=np.uint8), bounds).hash
+    assert len(set(h.tolist())) == len(made)
+    assert Words(np.frombuffer(raw, dtype=np.uint8), bounds, lower=True).hash[-1] == h[0]
+
+
 def test_op5_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 50), (7, 7)]
     got = {tuple(r) for r in near_dups.components(spark.createDataFrame(edges, "a long, b long")).collect()}
