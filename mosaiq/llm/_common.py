@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -95,7 +96,7 @@ def _placed(at: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of some texts laid end to end: byte bounds, 64-bit hashes, and the first word of each text."""
+    """The words of some texts laid end to end: byte bounds, bytes, 64-bit hashes, and the first word of each text."""
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray, lower: bool = False) -> None:
         self.data, self.bounds = data, bounds
@@ -107,16 +108,19 @@ class Words:
         begin[inner] |= full[inner]
         end[inner - 1] |= full[inner - 1]
         self.start, self.end = np.flatnonzero(begin), np.flatnonzero(end) + 1
-        size = self.end - self.start
-        after = np.cumsum(size)
-        body = data[full]
-        place = np.arange(len(body)) - np.repeat(after - size, size)
-        total = np.zeros(len(body) + 1, dtype=np.uint64)
-        np.cumsum(_placed((place << 8) + (_LOWER[body] if lower else body)), out=total[1:])
-        self.hash = mix(total[after] - total[after - size] + size.astype(np.uint64) * _SEED)
+        self.body = _LOWER[data[full]] if lower else data[full]
         self.first = np.searchsorted(self.start, bounds)
         self._sums: np.ndarray | None = None
 
+    @cached_property
+    def hash(self) -> np.ndarray:
+        size = self.end - self.start
+        after = np.cumsum(size)
+        place = np.arange(len(self.body)) - np.repeat(after - size, size)
+        total = np.zeros(len(self.body) + 1, dtype=np.uint64)
+        np.cumsum(_placed((place << 8) + self.body), out=total[1:])
+        return mix(total[after] - total[after - size] + size.astype(np.uint64) * _SEED)
+
     def windows(self, k: int) -> np.ndarray:
         """The hash of each k words in a row; windows that cross two texts are there too (see ok)."""
         n = len(self.hash)

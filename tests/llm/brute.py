@@ -76,22 +76,21 @@ def op10_base(rows):
 
 
 class Ctw:
-    """Context-tree weighting with explicit nodes, learned one byte at a time."""
+    """Context-tree weighting with explicit nodes, learned one byte of one text at a time."""
 
     def __init__(self, depth):
         self.depth, self.n = depth, {}
 
-    def learn(self, token, times=1):
-        for ctx, node, one in self._bits(token):
+    def learn(self, text):
+        for ctx, node, one in self._bits(text):
             for d in range(len(ctx) + 1):
-                self.n.setdefault((ctx[len(ctx) - d :], node), [0, 0])[one] += times
+                self.n.setdefault((ctx[len(ctx) - d :], node), [0, 0])[one] += 1
 
-    def _bits(self, token):
-        data = b" " + token
-        for i in range(1, len(data)):
-            ctx = data[max(0, i - self.depth) : i]
+    def _bits(self, text):
+        data = b"\n" * self.depth + b"".join(w.encode() + b" " for w in words(lower(text))) + b"\n"
+        for i in range(self.depth, len(data)):
             for k in range(8):
-                yield ctx, (data[i] + 256) >> (8 - k), data[i] >> (7 - k) & 1
+                yield data[i - self.depth : i], (data[i] + 256) >> (8 - k), data[i] >> (7 - k) & 1
 
     def finish(self):
         def kt(a, b):
@@ -107,9 +106,9 @@ class Ctw:
             if ctx:
                 kids[ctx[1:], node] = kids.get((ctx[1:], node), 0.0) + w
 
-    def log10(self, token):
+    def log10(self, text):
         total = 0.0
-        for ctx, node, one in self._bits(token):
+        for ctx, node, one in self._bits(text):
             p, left = 0.0, 1.0
             for d in range(len(ctx) + 1):
                 at = (ctx[len(ctx) - d :], node)

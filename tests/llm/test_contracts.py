@@ -348,23 +348,27 @@ def test_op9(spark, small):
 
 
 def test_op10(spark, small):
-    rows = odd_rows() + [(1000 + i, t) for i, t in small[:60]]
-    got = rows_of(ctw.score(documents(spark, rows), depth=3, head=40), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-    model = Ctw(3)
-    count = Counter()
+    """Every byte is given by the six before it, also across words: against explicit nodes, over whole texts."""
+    rows = odd_rows() + [(1000 + i, t) for i, t in small[:25]] + [(30, "\x03"), (31, "b a"), (32, "a b")]
+    got = rows_of(ctw.score(documents(spark, rows), head=400, head_words=30), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    model = Ctw(6)
     for d, t in rows:
         if not fold(d):
-            count.update(w.encode() + b" " for w in words(lower(t)))
-            count[b"\x03"] += 1
-    for token, n in count.items():
-        model.learn(token, n)
+            model.learn(t)
     model.finish()
-    kept = {}
-    spell = lambda token: kept[token] if token in kept else kept.setdefault(token, model.log10(token))
-    want = [(*b, sum(spell(w.encode() + b" ") for w in words(lower(t))) + spell(b"\x03")) for b, (_, t) in zip(op10_base(rows), rows, strict=True)]
-    want.sort(key=repr)
+    want = sorted(((*b, model.log10(t)) for b, (_, t) in zip(op10_base(rows), rows, strict=True)), key=repr)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert [x for g in got for x in g[5:]] == pytest.approx([x for w in want for x in w[5:]], rel=1e-8)
+    by = {g[0]: g for g in got}
+    assert by[31][5] == pytest.approx(by[32][5]) and by[31][6] != pytest.approx(by[32][6], rel=1e-4)  # the order of words counts
+
+
+def test_op10_look_up():
+    rng = np.random.default_rng(1)
+    key = np.unique(rng.integers(0, 1 << 62, 5000).astype(np.uint64))
+    table = ctw.Lookup(key, np.arange(len(key)) * 0.5)
+    assert np.array_equal(table.get(key), np.where(key != 0, np.arange(len(key)) * 0.5, np.nan), equal_nan=True)
+    assert np.isnan(table.get(np.array([0, 1 << 63, 12345], dtype=np.uint64))).all()
 
 
 def test_empty_tables(spark):
