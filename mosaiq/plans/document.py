@@ -115,7 +115,7 @@ class Document:
     """The present state, and the states before each op (the newest `depth` of them). States share their relations'
     lineage, so a version costs nothing."""
 
-    def __init__(self, w: int, h: int, bg: int = 0, depth: int = 100) -> None:
+    def __init__(self, w: int, h: int, bg: int = 0, depth: int = 50) -> None:
         self.state = State(w, h, bg, empty_root())
         self.depth = depth
         self.past: list[State] = []

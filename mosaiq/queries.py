@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import adjust, blend
 from .functions.rules import pack, q, unpack
-from .operators import render, selections, stroke
+from .operators import inspect, render, selections, stroke
 from .plans import script
 from .plans.document import Document, Node
 from .plans.relation import Rel
@@ -41,17 +41,18 @@ def source(spark: SparkSession, sf: str) -> DataFrame:
     return e.select((C("event_id") % W).cast("int").alias("x"), F.expr(f"cast(event_id div {W} as int)").alias("y"), v.alias("v"))
 
 
-def backdrop(spark: SparkSession, sf: str, h: int) -> DataFrame:
-    o = spark.read.parquet(f"{sf}/orders.parquet").where(f"o_orderkey < {h * W}").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+def backdrop(spark: SparkSession, sf: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
     v = pack(q(C("o_totalprice") / 500000.0), (C("o_custkey") * 11 % 256).cast("int"), _rank_byte(C("o_orderpriority"), _PRIORITIES), F.lit(255))
     return o.select((C("o_orderkey") % W).cast("int").alias("x"), F.expr(f"cast(o_orderkey div {W} as int)").alias("y"), v.alias("v"))
 
 
 def document(spark: SparkSession, sf: str, layers: str = "bs") -> Document:
-    """A document with the layers back (b) and src (s)."""
-    h = (spark.read.parquet(f"{sf}/events.parquet").agg(F.max("event_id")).first()[0] + W) // W
+    """A document with the layers back (b) and src (s), as high as the larger of their tables needs."""
+    keys = {"b": ("orders", "o_orderkey"), "s": ("events", "event_id")}
+    h = max((spark.read.parquet(f"{sf}/{keys[k][0]}.parquet").agg(F.max(keys[k][1])).first()[0] + W) // W for k in layers)
     doc = Document(W, h)
-    nodes = {"b": lambda: Node("back", "raster", pixels=Rel(backdrop(spark, sf, h))), "s": lambda: Node("src", "raster", pixels=Rel(source(spark, sf)))}
+    nodes = {"b": lambda: Node("back", "raster", pixels=Rel(backdrop(spark, sf))), "s": lambda: Node("src", "raster", pixels=Rel(source(spark, sf)))}
     doc.state = doc.state.insert("root", None, *(nodes[k]() for k in layers))
     return doc
 
@@ -91,7 +92,9 @@ def _bytes(col: str, values: tuple[int, ...]) -> str:
 
 
 S_SRC = f"""SELECT CAST(event_id % 100 AS INTEGER) x, CAST(event_id // 100 AS INTEGER) y, CASE WHEN a = 0 THEN 0 ELSE r END r, CASE WHEN a = 0 THEN 0 ELSE g END g, CASE WHEN a = 0 THEN 0 ELSE b END b, a FROM (SELECT event_id, {sq('value / 500.0::DOUBLE')} r, CAST(user_id * 37 % 256 AS INTEGER) g, {_bytes('event_type', _EVENT_TYPES)} b, {sq("CAST(json_extract_string(props, '$.k') AS DOUBLE) / 99.0::DOUBLE")} a FROM events)"""
-S_BACK = f"""SELECT CAST(o_orderkey % 100 AS INTEGER) x, CAST(o_orderkey // 100 AS INTEGER) y, {sq('o_totalprice / 500000.0::DOUBLE')} r, CAST(o_custkey * 11 % 256 AS INTEGER) g, {_bytes('o_orderpriority', _PRIORITIES)} b, 255 a FROM orders WHERE o_orderkey < (SELECT count(*) FROM events)"""
+S_BACK = f"""SELECT CAST(o_orderkey % 100 AS INTEGER) x, CAST(o_orderkey // 100 AS INTEGER) y, {sq('o_totalprice / 500000.0::DOUBLE')} r, CAST(o_custkey * 11 % 256 AS INTEGER) g, {_bytes('o_orderpriority', _PRIORITIES)} b, 255 a FROM orders"""
+#: The source on the whole canvas of a document with both layers: it has no pixel beyond its table.
+S_TOP = f"SELECT q.x, q.y, coalesce(t.r, 0) r, coalesce(t.g, 0) g, coalesce(t.b, 0) b, coalesce(t.a, 0) a FROM ({S_BACK}) q LEFT JOIN ({S_SRC}) t ON q.x = t.x AND q.y = t.y"
 S_SIZE = "(SELECT CAST((max(event_id) + 100) // 100 AS INTEGER) FROM events)"
 
 
@@ -200,7 +203,7 @@ def sql_over(inner: str, mode: str = "norm", seed: int = 0) -> str:
     return f"SELECT x, y, {', '.join(f'CAST(CASE WHEN oa = 0 THEN 0 ELSE coalesce(o{i}, 0) END AS INTEGER) {c}' for i, c in enumerate(_RGB))}, oa a FROM ({raw})"
 
 
-def sql_pair(coverage: str, back: str = S_BACK, src: str = S_SRC) -> str:
+def sql_pair(coverage: str, back: str = S_BACK, src: str = S_TOP) -> str:
     """Both layers by pixel, for sql_over(); coverage: SQL over s.a (the source's alpha byte), x and y."""
     return f"SELECT p.x, p.y, p.r rb, p.g gb, p.b bb, p.a ab, s.r rs, s.g gs, s.b bs, {coverage} c FROM ({back}) p JOIN ({src}) s ON p.x = s.x AND p.y = s.y"
 
@@ -230,7 +233,7 @@ _inside = "p.x >= 10 AND p.x < 70 AND p.y >= 2"
 QUERIES["composite_stack"] = _rendered("bs", *_STACK)
 ORACLES["composite_stack"] = sql_over(f"SELECT p.x, p.y, p.r rb, p.g gb, p.b bb, p.a ab, CASE WHEN {_inside} THEN 192 ELSE 0 END rs, CASE WHEN {_inside} THEN 48 ELSE 0 END gs, CASE WHEN {_inside} THEN 80 ELSE 0 END bs, CASE WHEN {_inside} THEN 176 / 255.0::DOUBLE ELSE 0.0::DOUBLE END c FROM ({_two}) p", "mul")
 
-_EMPTY_BACK = f"SELECT x, y, 0 r, 0 g, 0 b, 0 a FROM ({S_SRC})"
+_EMPTY_BACK = f"SELECT x, y, 0 r, 0 g, 0 b, 0 a FROM ({S_TOP})"
 _group = ({"op": "add_group", "id": "g", "mode": "isolated"}, {"op": "move_layer", "id": "src", "parent": "g"}, {"op": "set_opacity", "layer": "g", "value": 0.6})
 _inner = sql_over(sql_pair(_coverage(), _EMPTY_BACK), "mul")
 QUERIES["group_isolated"] = _rendered("bs", *_group, {"op": "set_blend", "layer": "src", "mode": "mul"})
@@ -242,16 +245,16 @@ ORACLES["group_pass"] = f"SELECT x, y, {', '.join(sq(_div(f'k0 * ({c}0 / 255.0::
 
 _clip = ({"op": "add_layer", "id": "c", "fill": "solid", "color": "#20E06080"}, {"op": "set_clip", "layer": "c", "value": True}, {"op": "set_fill", "layer": "src", "value": 0.5}, {"op": "set_opacity", "layer": "src", "value": 0.9}, {"op": "set_blend", "layer": "c", "mode": "diff"})
 QUERIES["clip_on"] = _rendered("bs", *_clip)
-_seed = f"SELECT x, y, CASE WHEN f = 0 THEN 0 ELSE r END rb, CASE WHEN f = 0 THEN 0 ELSE g END gb, CASE WHEN f = 0 THEN 0 ELSE b END bb, f ab, 32 rs, 224 gs, 96 bs, ((128 / 255.0::DOUBLE) * 1.0::DOUBLE) * 1.0::DOUBLE c FROM (SELECT *, {sq('0.5::DOUBLE')} f FROM ({S_SRC}))"
+_seed = f"SELECT x, y, CASE WHEN f = 0 THEN 0 ELSE r END rb, CASE WHEN f = 0 THEN 0 ELSE g END gb, CASE WHEN f = 0 THEN 0 ELSE b END bb, f ab, 32 rs, 224 gs, 96 bs, ((128 / 255.0::DOUBLE) * 1.0::DOUBLE) * 1.0::DOUBLE c FROM (SELECT *, {sq('0.5::DOUBLE')} f FROM ({S_TOP}))"
 _built = sql_over(_seed, "diff")
-ORACLES["clip_on"] = sql_over(f"SELECT p.x, p.y, p.r rb, p.g gb, p.b bb, p.a ab, g.r rs, g.g gs, g.b bs, ((s.a / 255.0::DOUBLE) * 1.0::DOUBLE * (g.a / 255.0::DOUBLE)) * 0.9::DOUBLE c FROM ({S_BACK}) p JOIN ({S_SRC}) s ON p.x = s.x AND p.y = s.y JOIN ({_built}) g ON p.x = g.x AND p.y = g.y")
+ORACLES["clip_on"] = sql_over(f"SELECT p.x, p.y, p.r rb, p.g gb, p.b bb, p.a ab, g.r rs, g.g gs, g.b bs, ((s.a / 255.0::DOUBLE) * 1.0::DOUBLE * (g.a / 255.0::DOUBLE)) * 0.9::DOUBLE c FROM ({S_BACK}) p JOIN ({S_TOP}) s ON p.x = s.x AND p.y = s.y JOIN ({_built}) g ON p.x = g.x AND p.y = g.y")
 QUERIES["clip_off"] = _rendered("bs", *_clip, {"op": "set_clbl", "layer": "src", "value": False})
 _based = sql_over(sql_pair(_coverage(0.5, 0.9)))
-ORACLES["clip_off"] = sql_over(f"SELECT p.x, p.y, p.r rb, p.g gb, p.b bb, p.a ab, 32 rs, 224 gs, 96 bs, ((128 / 255.0::DOUBLE) * (s.a / 255.0::DOUBLE)) * 0.9::DOUBLE c FROM ({_based}) p JOIN ({S_SRC}) s ON p.x = s.x AND p.y = s.y", "diff")
+ORACLES["clip_off"] = sql_over(f"SELECT p.x, p.y, p.r rb, p.g gb, p.b bb, p.a ab, 32 rs, 224 gs, 96 bs, ((128 / 255.0::DOUBLE) * (s.a / 255.0::DOUBLE)) * 0.9::DOUBLE c FROM ({_based}) p JOIN ({S_TOP}) s ON p.x = s.x AND p.y = s.y", "diff")
 QUERIES["merge_down"] = _rendered("bs", {"op": "set_blend", "layer": "src", "mode": "scrn"}, {"op": "merge_down", "layer": "src"})
 ORACLES["merge_down"] = sql_over(sql_pair(_coverage()), "scrn")
 QUERIES["merge_visible"] = _rendered("bs", {"op": "set_visible", "layer": "back", "value": False}, {"op": "merge_visible"})
-ORACLES["merge_visible"] = f"SELECT x, y, r, g, b, a FROM ({S_SRC})"
+ORACLES["merge_visible"] = f"SELECT x, y, r, g, b, a FROM ({S_TOP})"
 QUERIES["flatten"] = _rendered("bs", {"op": "flatten"})
 ORACLES["flatten"] = sql_over(sql_pair(_coverage()))
 QUERIES["undo_asof"] = _rendered("bs", {"op": "delete_layer", "layer": "src"}, {"op": "set_opacity", "layer": "back", "value": 0.1}, {"op": "undo", "steps": 2})
@@ -271,15 +274,47 @@ _PARAMS: dict[str, dict[str, Any]] = {
 }
 
 
+def _sql_curve(points: list, v: str) -> str:
+    """A natural cubic spline of two or four points in SQL; the slopes' equations are solved by Cramer's rule."""
+    x, y = [f"{p[0]}.0::DOUBLE" for p in points], [f"{p[1]}.0::DOUBLE" for p in points]
+    n = len(points) - 1
+    h = [f"({x[i + 1]} - {x[i]})" for i in range(n)]
+    rise = [f"(({y[i + 1]} - {y[i]}) / {h[i]})" for i in range(n)]
+    m = ["0.0::DOUBLE"] * (n + 1)
+    if n == 3:
+        r1, r2 = f"(6 * ({rise[1]} - {rise[0]}))", f"(6 * ({rise[2]} - {rise[1]}))"
+        d1, d2 = f"(2 * ({h[0]} + {h[1]}))", f"(2 * ({h[1]} + {h[2]}))"
+        det = f"({d1} * {d2} - {h[1]} * {h[1]})"
+        m[1:3] = f"(({r1} * {d2} - {h[1]} * {r2}) / {det})", f"(({d1} * {r2} - {h[1]} * {r1}) / {det})"
+    t = f"least(greatest({v}, {x[0]}), {x[-1]})"
+    piece = lambda i: f"({m[i]} * pow({x[i + 1]} - {t}, 3) + {m[i + 1]} * pow({t} - {x[i]}, 3)) / (6 * {h[i]}) + ({y[i]} / {h[i]} - {m[i]} * {h[i]} / 6) * ({x[i + 1]} - {t}) + ({y[i + 1]} / {h[i]} - {m[i + 1]} * {h[i]} / 6) * ({t} - {x[i]})"
+    pieces = "".join(f" WHEN {t} < {x[i + 1]} THEN {piece(i)}" for i in range(n - 1))
+    return f"least(greatest(CASE{pieces} ELSE {piece(n - 1)} END, 0.0::DOUBLE), 255.0::DOUBLE)" if n > 1 else f"least(greatest({piece(0)}, 0.0::DOUBLE), 255.0::DOUBLE)"
+
+
+def _sql_table(kind: str, c: str) -> str:
+    """The new byte of a channel, written out for _PARAMS."""
+    v = f"({c} / 255.0::DOUBLE)"
+    clamp = lambda e: f"least(greatest({e}, 0.0::DOUBLE), 1.0::DOUBLE)"
+    if kind == "posterize":
+        return sq(f"round({v} * 4) / 4")
+    if kind == "brightness_contrast":
+        return sq(f"({v} + (1 - {v}) * 0.15::DOUBLE - 0.5::DOUBLE) * tan(0.35::DOUBLE * pi()) + 0.5::DOUBLE")
+    if kind == "levels":
+        first = f"((200 - 190 * {v}) / 255.0::DOUBLE)" if c == "r" else v
+        return sq(f"pow({clamp(f'({first} * 255.0::DOUBLE - 20) / 215.0::DOUBLE')}, 1 / 1.4::DOUBLE)")
+    p = _PARAMS["curves"]
+    return sq(f"({_sql_curve(p['rgb'], _sql_curve(p[c], f'({c} * 1.0::DOUBLE)') if c in p else f'({c} * 1.0::DOUBLE)')}) / 255.0::DOUBLE")
+
+
 def _sql_adjusted(kind: str) -> str:
     """x, y, r, g, b, a of the source with the adjustment."""
     p = adjust.read(kind, _PARAMS[kind])
-    tables = adjust.luts(kind, p)
     zero = lambda v: f"CAST(CASE WHEN a = 0 THEN 0 ELSE {v} END AS INTEGER)"
     if kind == "invert":
         values = [f"255 - {c}" for c in _RGB]
-    elif tables:
-        values = [f"[{', '.join(map(str, t))}][{c} + 1]" for t, c in zip(tables, _RGB, strict=True)]
+    elif kind in ("levels", "curves", "brightness_contrast", "posterize"):
+        values = [_sql_table(kind, c) for c in _RGB]
     elif kind == "threshold":
         values = ["CASE WHEN (299 * r + 587 * g + 114 * b + 500) // 1000 >= 120 THEN 255 ELSE 0 END"] * 3
     elif kind == "black_white":
@@ -465,14 +500,14 @@ QUERIES["flt_motion"] = _rendered("s", {"op": "filter_motion_blur", "layer": "sr
 
 
 def bbox(spark: SparkSession, sf: str) -> DataFrame:
-    df = source(spark, sf).where("v <> 0")
-    return df.agg(*(F.expr(f"{f}({c})").alias(f"{f}_{c}") for f in ("min", "max") for c in "xy"))
+    state = document(spark, sf, "s").state
+    box = inspect.content_box(spark, state, Rel(source(spark, sf)))
+    return spark.createDataFrame([box], "x int, y int, w int, h int")
 
 
 def tile_stats(spark: SparkSession, sf: str) -> DataFrame:
-    """Pixels of each 64 x 64 tile that has any."""
-    df = source(spark, sf).where("v <> 0").select(F.expr("cast(x div 64 as int)").alias("tx"), F.expr("cast(y div 64 as int)").alias("ty"))
-    return df.groupBy("tx", "ty").agg(F.count("*").alias("pixels"))
+    """Tiles of 64 x 64 pixels of each layer that have any."""
+    return inspect.tile_statistics(spark, document(spark, sf, "bs").state).select("allocated", "total")
 
 
 def mip(spark: SparkSession, sf: str) -> DataFrame:
@@ -489,8 +524,9 @@ def stroke_dabs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (bbox, tile_stats, mip, stroke_dabs)}
-ORACLES["bbox"] = f"SELECT min(x) min_x, min(y) min_y, max(x) max_x, max(y) max_y FROM ({S_SRC}) WHERE a > 0"
-ORACLES["tile_stats"] = f"SELECT CAST(x // 64 AS INTEGER) tx, CAST(y // 64 AS INTEGER) ty, count(*) pixels FROM ({S_SRC}) WHERE a > 0 GROUP BY 1, 2"
+ORACLES["bbox"] = f"SELECT min(x) x, min(y) y, max(x) - min(x) + 1 w, max(y) - min(y) + 1 h FROM ({S_SRC}) WHERE a > 0"
+_tiles = "SELECT count(DISTINCT (x // 64, y // 64)) allocated, CAST(2 * (SELECT (max(y) + 64) // 64 FROM ({0})) AS BIGINT) total FROM ({1}) WHERE a > 0"
+ORACLES["tile_stats"] = f"{_tiles.format(S_BACK, S_BACK)} UNION ALL {_tiles.format(S_BACK, S_SRC)}"
 ORACLES["mip"] = f"SELECT CAST(x // 2 AS INTEGER) x, CAST(y // 2 AS INTEGER) y, {', '.join(f'CAST((sum(({c} * a + 127) // 255) + 2) // 4 AS INTEGER) {c}' for c in _RGB)}, CAST((sum(a) + 2) // 4 AS INTEGER) a FROM ({S_SRC}) GROUP BY 1, 2"
 _POINTS_STROKE = [{"x": 5, "y": 2, "pressure": 0.4}, {"x": 60, "y": 8, "pressure": 1.0}, {"x": 90, "y": 1, "pressure": 0.7}]
 QUERIES["stroke_paint"] = _rendered("s", {"op": "brush_stroke", "layer": "src", "color": "#D02090", "size": 9, "hardness": 0.4, "flow": 0.6, "opacity": 0.9, "samples": _POINTS_STROKE})
