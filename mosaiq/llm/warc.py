@@ -4,16 +4,16 @@ Writing: the payload goes into an HTTP response in chunked transfer framing. A r
 `segment_bytes` is cut: the first segment keeps the record's type, later ones are `continuation` records that name the
 first one as their origin, and the last gives the total length. Of pages with equal payloads the one with the largest
 page_id is a response; the others are revisit records that refer to it and carry no payload. Each file has at most
-`records_per_file` records of at most `segment_bytes` (plus headers), so a reader's memory is bounded.
+`records_per_file` records of at most `segment_bytes` (plus headers): 128 MB at most, so a reader's memory is bounded.
 
-Reading: each archive file is parsed by its Content-Length fields; records of several segments are grouped by origin,
+Reading: each archive file, plain or of any number of gzip members, is parsed by its Content-Length fields; records of several segments are grouped by origin,
 ordered by segment number, joined and held against the total length; then the chunked framing is decoded.
 
 Cases: null html is the empty payload; a null page_id is written without a page header and comes back null; a null url
 is written as about:blank; repeated rows give a record each, with an id of its own (rows of one page_id and payload
 are responses, revisits refer to one of them); payloads of any
 length and with any bytes, WARC headers included, come back whole; a missing segment or a wrong length raises an
-error; an empty table gives no records.
+error; an empty table gives no records; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -115,7 +115,7 @@ def records(page_id: int | None, serial: str, url: str | None, payload: bytes, r
             yield _record("continuation", f"{name}:{k + 1}", [("WARC-Segment-Origin-ID", f"<{name}>"), ("WARC-Segment-Number", str(k + 1)), *total], part)
 
 
-def write_archives(pages: DataFrame, path: str, segment_bytes: int = 1 << 16, records_per_file: int = 64, least: int = 0) -> None:
+def write_archives(pages: DataFrame, path: str, segment_bytes: int = 1 << 16, records_per_file: int = 2048, least: int = 0) -> None:
     """Write the pages as gzip-compressed archive files under `path`, by Spark's own committer."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,6 +129,20 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = 1 << 16, re
     lines.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
+def unzipped(data: bytes) -> bytes:
+    """All members of a gzip file, one after the other; other data as it is. A broken end is an error."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out = []
+    while data.strip(b"\0"):
+        member = zlib.decompressobj(47)
+        out.append(member.decompress(data) + member.flush())
+        if not member.eof:
+            raise ValueError("the archive ends within a gzip member")
+        data = member.unused_data
+    return b"".join(out)
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (names in lower case) and block of each record of an archive."""
     at = 0
@@ -180,7 +194,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
         for batch in batches:
             for i in range(batch.num_rows):
                 rows = []
-                for f, block in parse(zlib.decompress(batch.column(0)[i].as_py(), 47)):
+                for f, block in parse(unzipped(batch.column(0)[i].as_py())):
                     kind = f["warc-type"]
                     if kind not in ("response", "revisit", "continuation"):
                         continue
@@ -194,7 +208,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PART.types, strict=True)], schema=_PART)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(path).select("content")
     parts = materialize(spark, files.mapInArrow(segments, _sql(_PART)), "records")
     first = lambda c: F.max(F.when(F.col("seg") == 1, F.col(c))).alias(c)
     several = parts.where("seg > 0").groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("seg", "block"))).alias("parts"), *map(first, ("page_id", "payload_digest", "record_type", "refers_to")), F.max("total").alias("total"))  # one record's segments: one cell of the source
