@@ -37,6 +37,26 @@ def op4(text):
     return (*(sum(x[2] == k for x in found) for k, *_ in SPANS), hashlib.sha256(line.encode()).hexdigest())
 
 
+def random_parts(run, ratios, alphabet, evidence, threshold):
+    """Parts of a run of identifier characters that the models call random."""
+    if len(run) < 12:
+        return []
+    total = lambda x: sum(ratios[alphabet.index(a) * len(alphabet) + alphabet.index(b)] for a, b in zip(x, x[1:]))
+    ordinary = any(len(x) >= 4 and total(x) < 0 for x in re.split("[/_=-]", run))
+    if total(run) >= evidence and total(run) >= threshold * (len(run) - 1) and not ordinary:
+        return [(0, len(run))]
+    out, held, at = [], [], 0
+    for piece in [*re.split("[/_=-]", run), None]:
+        if piece is None or len(piece) > 1 and total(piece) < threshold * (len(piece) - 1):
+            if held and sum(x[2] for x in held) >= evidence:
+                out.append((held[0][0], held[-1][1]))
+            held = []
+        elif len(piece) > 1:
+            held.append((at, at + len(piece), total(piece)))
+        at += len(piece or "") + 1
+    return out
+
+
 def op9(rows, k=13):
     first = {}
     for doc, text in rows:

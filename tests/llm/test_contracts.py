@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from brute import Ctw, alignment, fold, lower, op1, op4, op9, op10_base, words
+from brute import Ctw, alignment, fold, lower, op1, op4, op9, op10_base, random_parts, words
 
 from mosaiq.llm import ctw, near_dups, packing, quality_rules, queries, secrets, substring_dedup, token_counts, warc
 
@@ -111,6 +111,35 @@ def test_op4_models_find_planted_strings(spark):
     assert clean[60] == f"see {plain[0]} é {plain[0]}" and sum(clean[i] == "see [SECRET] é [SECRET]" for i in range(60)) >= 57
 
 
+def test_op4_models_alone_decide(spark):
+    """Random strings of one case, short ones, and ones within paths are found; paths and identifiers are left alone. The
+    parts are those of a plain version. The models are trained from as many labelled documents as in production."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    ratios = secrets.train(secrets.labelled_samples(docs, labels))
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mixed = letters + letters.upper() + "0123456789"
+    made = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    keys = [made(letters, 26) for _ in range(20)] + [made(letters.upper(), 26) for _ in range(20)] + [made(mixed, 16) for _ in range(20)]
+    keys += [f"/the/thonention/entherer/station/{made(mixed, 24)}" for _ in range(20)] + [f"/the/{made(mixed, 30)}/station/thonention/{made(mixed, 30)}/the" for _ in range(20)]
+    clean = ["/the/thonention/entherer/station/and/thandethe", "the_thonention_and_the_station", "thandethethonention"]
+    docs = documents(spark, list(enumerate([f"see {k} there" for k in keys + clean])))
+    got = {r["doc_id"]: r["spans"] for r in secrets.report(secrets.find_secrets(docs, ratios)).collect()}
+    rows = [got[i] != "" for i in range(len(keys))]
+    found = [sum(rows[i : i + 20]) for i in range(0, 80, 20)] + [sum(got[i].count("markov") == 2 for i in range(80, 100))]
+    assert min(found) >= 18, found
+    assert [got[len(keys) + i] for i in range(len(clean))] == ["", "", ""]
+    for i, k in enumerate(keys + clean):
+        want = [f"markov:{4 + a}:{4 + b}" for a, b in random_parts(k, ratios, secrets.ALPHABET, 24.0, 2.0)]
+        assert got[i].split(",") == (want or [""])
+
+
+def test_op4_other_columns(spark):
+    rows = spark.createDataFrame([(1, "token=abcdefghij", "a", "b", 3)], "doc_id long, text string, base string, spans string, `row` int")
+    out = secrets.redact(secrets.find_secrets(rows, [0.0] * 67**2))
+    assert out.columns == rows.columns and tuple(out.first()) == (1, "[SECRET]", "a", "b", 3)
+
+
 def test_op4_redaction_of_meeting_spans(spark):
     rows = [(1, 'a token = "' + "0f" * 20 + '" AKIA' + "1" * 30 + "abc" * 12 + " z"), (2, None), (3, "clean")]
     out = {r["doc_id"]: r["text"] for r in secrets.redact(secrets.find_secrets(documents(spark, rows), [0.0] * 67**2)).collect()}
@@ -278,6 +307,28 @@ def test_op6_repeated_rows_of_several_segments(spark, tmp_path):
     assert len(ids) == len(set(ids)) and {f["warc-refers-to"] for f in heads if "warc-refers-to" in f} <= set(ids)
 
 
+def test_op6_files_of_other_writers(spark, tmp_path):
+    """A gzip member for each record, as usual in such files, and a plain file."""
+    import gzip
+
+    made = [b"".join(b + b"\r\n\r\n" for b in warc.records(i, "0", "u", b"p%d" % i * 900, None, 1000)) for i in range(5)]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.warc.gz").write_bytes(b"".join(map(gzip.compress, made[:4])))
+    (tmp_path / "a" / "y.warc").write_bytes(made[4])
+    got = {r["page_id"]: bytes(r["payload"]) for r in warc.read_archives(spark, str(tmp_path / "a")).collect()}
+    assert got == {i: b"p%d" % i * 900 for i in range(5)}
+    with pytest.raises(ValueError):
+        warc.unzipped(gzip.compress(made[0])[:-9])
+
+
+def test_op6_empty_and_clashing_columns(spark, tmp_path):
+    schema = "page_id long, url string, html string, payload string, _sha string, serial int, refers_to string"
+    for name, rows in (("none", []), ("one", [(1, "u", "x", "q", "r", 1, "s")])):
+        warc.write_archives(spark.createDataFrame(rows, schema), str(tmp_path / name))
+        got = warc.read_archives(spark, str(tmp_path / name)).collect()
+        assert [(r["page_id"], bytes(r["payload"])) for r in got] == [(1, b"x")] * len(rows)
+
+
 def test_op6_faults(spark, tmp_path):
     body = b"".join(b + b"\r\n" for b in warc.records(1, "s", "u", b"x" * 5000, None, 1000))
     assert warc.dechunked(b"3;q\r\nabc\r\n0\r\nT: 1\r\n\r\n") == b"abc"
