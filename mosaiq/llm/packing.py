@@ -1,9 +1,10 @@
 """Best-fit packing of token sequences with exact-complement hashing.
 
 Documents become pieces of at most `capacity` tokens. Only the histogram of piece lengths (at most `capacity` rows)
-reaches the driver. There the plan is made: for the longest lengths first, one, two or three shorter lengths whose sum is
-exactly the gap are looked up and consumed under their availability counts; what has no exact complement is packed
-best-fit decreasing, whole groups of equal bins at a time. A plan row gives a range of ranks of one length its place, so
+reaches the driver. There the plan is made: one other length that is exactly the gap of a length is looked up and consumed
+under the availability counts, for all lengths, the longest first; then two and then three others for what is left; what
+has no exact complement is packed best-fit decreasing, whole groups of equal bins at a time. Of several such plans the one
+with fewest sequences is taken. A plan row gives a range of ranks of one length its place, so
 every piece finds its sequence from its rank within its length, without a shuffle of the tokens.
 
 Cases: null and empty text become the one end token; texts of any length are tokenized whole; repeated rows are packed
@@ -39,8 +40,10 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 def _fast_merges(tokenizer: Any) -> Callable[[str], list[int]] | None:
     """The same merges in a library with less cost a call, for byte-level vocabularies whose ids are their merge ranks;
     None for any other."""
-    import tiktoken
-
+    try:
+        import tiktoken
+    except ImportError:  # then the first library does it all
+        return None
     made = json.loads(tokenizer.to_str())
     model, pre = made["model"], made["pre_tokenizer"] or {}
     if made["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex") or model.get("ignore_merges"):
@@ -129,14 +132,17 @@ def token_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = 1024
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths with the number of sequences of each pattern, for so many pieces of each length: the best of the
-    plans that complete a length with up to one, two or three others, or with three only from some length down."""
-    plans = [_plan(counts, capacity, most, floor) for most in (1, 2, 3) for floor in (0, capacity // 4, capacity // 2)]
+    """Patterns of lengths with the number of sequences of each pattern, for so many pieces of each length: of the plans
+    that complete lengths with up to three others, two, or one, and of those that do so with several for large gaps alone,
+    the one with fewest sequences, and with most others among equals. An exact complement wastes nothing itself, but pairs
+    and triples use up short pieces that would have filled other gaps, so none of these plans is best for all lengths."""
+    plans = [_plan(counts, capacity, most, floor) for most, floor in ((3, 0), (2, 0), (3, capacity // 4), (2, capacity // 4), (3, capacity // 2), (2, capacity // 2), (1, 0))]
     return min(plans, key=lambda plan: sum(n for _, n in plan))
 
 
 def _plan(counts: dict[int, int], capacity: int, most: int, floor: int) -> list[tuple[tuple[int, ...], int]]:
-    """Combinations of up to `most` lengths are looked up for gaps of at least `floor`, single ones for all gaps."""
+    """Exact complements of one other length first, for all lengths, then of two and of three (up to `most`, for gaps of at
+    least `floor`) for what is left; the rest is packed best-fit decreasing."""
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         left[length] = n
@@ -160,30 +166,30 @@ def _plan(counts: dict[int, int], capacity: int, most: int, floor: int) -> list[
         best = int(np.argmax(there))
         return (total - int(a[best]), int(a[best])) if there[best] else None
 
-    def complement(long: int) -> tuple[int, ...] | None:
+    def complement(long: int, others: int) -> tuple[int, ...] | None:
+        """That many other lengths that fill the gap of `long` exactly."""
         gap = capacity - long
         left[long] -= 1
         try:
-            if left[gap] > 0:
-                return (gap,)
-            if most < 2 or gap < floor:
-                return None
-            if found := pair(gap):
-                return found
-            for a in np.flatnonzero(left[: gap - 1])[::-1] if most > 2 and gap > 2 else ():
+            if others == 1:
+                return (gap,) if left[gap] > 0 else None
+            if others == 2:
+                return pair(gap)
+            for a in np.flatnonzero(left[: gap - 1])[::-1] if gap > 2 else ():
                 if found := pair(gap - int(a), int(a)):
                     return (int(a), *found)
             return None
         finally:
             left[long] += 1
 
-    for long in range(capacity - 1, 0, -1):
-        while left[long] > 0 and (found := complement(long)):
-            pattern = (long, *found)
-            n = times(pattern)
-            for x in pattern:
-                left[x] -= n
-            done.append((pattern, n))
+    for others in range(1, most + 1):
+        for long in range(capacity - (floor if others > 1 else 1), 0, -1):
+            while left[long] > 0 and (found := complement(long, others)):
+                pattern = (long, *found)
+                n = times(pattern)
+                for x in pattern:
+                    left[x] -= n
+                done.append((pattern, n))
     open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}
     for long in range(capacity, 0, -1):
         n = int(left[long])
