@@ -7,7 +7,7 @@ space is dropped), so pieces are counted one by one and remembered.
 
 Cases: null and empty text have 0 bytes and 0 tokens; a text that holds a special token's string goes to the library
 whole; repeated rows are counted each; columns other than the two named are ignored; text of any length is counted in
-full.
+full; an empty table gives no rows; a vocabulary whose file cuts texts in another way is counted by the library alone.
 """
 
 from __future__ import annotations
@@ -26,6 +26,10 @@ from ._common import byte_of_char
 
 #: The vocabulary's own pre-token pattern (a fixed value of its file).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: What the shortcut takes for granted (fixed values of the vocabulary's file, which are compared with it).
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": PRE_TOKEN}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 #: str.split() takes these as white space, the library doesn't.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 _kept: dict[str, _Counter] = {}
@@ -61,6 +65,9 @@ class _Counter:
     def __init__(self, path: str, whole: frozenset[str], most: int = 400_000) -> None:
         self.tokenizer, self.whole, self.most = _load(path), whole, most
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        made = json.loads(self.tokenizer.to_str())
+        #: the shortcut is for vocabularies that drop white space, lower-case, and cut by PRE_TOKEN; others are counted whole
+        self.fits = made["normalizer"] == NORMALIZER and made["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]}
         self.split = regex.compile(PRE_TOKEN).findall
         self.known: dict[str, int] = {}
 
@@ -83,7 +90,7 @@ class _Counter:
             self.known.clear()
         out = []
         for text in texts:
-            if "<|" in text and any(s in text for s in self.special) or any(c in text for c in _ODD):
+            if not self.fits or any(s in text for s in self.special) or any(c in text for c in _ODD):
                 out.append(len(self.tokenizer.encode(text, add_special_tokens=False)))
                 continue
             pieces = text.split()
