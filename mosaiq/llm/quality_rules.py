@@ -101,11 +101,12 @@ def binomial_tail(k: Column, n: Column, p: float, terms: int = 4000) -> Column:
 
 
 def cutoffs(scored: DataFrame, labels: DataFrame, alpha: float, delta: float) -> DataFrame:
-    """stratum and, for each rule, the strictest proven cutoff (null: none). scored: doc_id, stratum and a score of 0 to
-    100 for each rule. Good documents are counted by stratum, rule and score: at most 101 rows for each of those."""
+    """stratum and, for each rule, the strictest proven cutoff (null: none). scored: doc_id, stratum, text_hash and a score of 0
+    to 100 for each rule. Good documents are counted, once for each text in a stratum (copies are no further evidence), by stratum, rule and score: at most 101 rows for each of those."""
     good = labels.select("doc_id", "quality").where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("q")).where("q = 1").select("doc_id")
-    held = scored.select("doc_id", "stratum", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("score")) for r in RULES])).alias("_s"))
-    counts = held.join(good, "doc_id").groupBy("stratum", "_s.rule", "_s.score").agg(F.count("*").alias("n"))
+    known = scored.join(good, "doc_id").dropDuplicates(["stratum", "text_hash"])
+    held = known.select("stratum", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("score")) for r in RULES])).alias("_s"))
+    counts = held.groupBy("stratum", "_s.rule", "_s.score").agg(F.count("*").alias("n"))
     by = counts.groupBy("stratum", "rule").agg(F.map_from_entries(F.collect_list(F.struct("score", "n"))).alias("_n"), F.sum("n").alias("n"))
     at = lambda t: F.aggregate(F.map_entries(F.map_filter("_n", lambda s, _: s >= t)), F.lit(0).cast("long"), lambda a, e: a + e["value"])
     tests = by.select("stratum", "rule", "n", F.explode(F.transform(F.sequence(F.lit(1), F.lit(LEVELS - 1)), lambda t: F.struct(t.alias("cutoff"), at(t).alias("k")))).alias("_t"))
@@ -121,7 +122,8 @@ def cutoffs(scored: DataFrame, labels: DataFrame, alpha: float, delta: float) ->
 def quality_rules(documents: DataFrame, labels: DataFrame, alpha: float = 0.04, delta: float = 0.05, stratum_col: str = "lang", most_strata: int = 10_000) -> DataFrame:
     """The stats of each document, base_failed, the cutoffs' verdicts (rejected_by, an array of rules) and kept."""
     spark = documents.sparkSession
-    stats = materialize(spark, text_stats(documents, keep=(stratum_col,)).withColumnRenamed(stratum_col, "stratum"), "stats")
+    known = documents.select("doc_id", "text", F.col(stratum_col).alias("stratum"), F.xxhash64("text").alias("text_hash"))
+    stats = materialize(spark, text_stats(known, keep=("stratum", "text_hash")), "stats")
     scored = stats.withColumn("stratum", F.coalesce(F.col("stratum").cast("string"), F.lit("")))
     scored = scored.withColumns({r: F.least(F.greatest(F.expr(e), F.lit(0)), F.lit(LEVELS - 1)).cast("int") for r, e in RULES.items()})
     found = materialize(spark, cutoffs(scored, labels, alpha, delta), "cutoffs")
