@@ -1,11 +1,13 @@
 """Quality classifier: evidence of each document, combined with its site by hierarchical empirical Bayes.
 
 A logistic model over a document's shape and hashed words is fitted on a bounded sample of labelled documents (`most`
-rows, the least by a hash of their id), once for good quality and once for toxicity. Each document's probability is its
+rows, the least by a hash of their id; their features, not their texts, go to the driver), once for good quality and once for toxicity. Each document's probability is its
 evidence. Grouped aggregation over all documents gives the sums of every host and of every path within a host; the
 global mean and the spread between hosts (and between paths of a host) come from these by the method of moments. A host's
 posterior mean is shrunk toward the global mean, a path's toward its host's, the more the fewer documents there are. A
 document is kept when its evidence, moved by its path's posterior odds against the global odds, says good and not toxic.
+The site's means leave the document itself out, so its evidence counts once. The table has no addresses: `source` stands
+for the host, and `lang`, the part of a source that a document is in, for the path.
 
 Hosts and paths are rows that are joined, never collected; only the global moments (one row) are broadcast.
 
@@ -65,14 +67,32 @@ def _columns(words: Words) -> tuple[np.ndarray, np.ndarray]:
 Sample = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def sample_features(texts: pa.ChunkedArray) -> Sample:
-    """Shape, and text number, bucket and weight of each word, made slice by slice so that memory stays small."""
-    parts = []
-    for i, _, data, bounds in text_slices(texts):
-        words = Words(data, bounds, lower=True)
-        col, value = _columns(words)
-        parts.append((shape(words), (i + words.doc()).astype(np.int32), col.astype(np.int32), value.astype(np.float32)))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))  # type: ignore[return-value]
+def sample_features(documents: DataFrame) -> DataFrame:
+    """quality, toxic, form (SHAPE numbers), cols and sums (a text's buckets and their weights) of labelled texts (quality,
+    toxic, text), so that no text goes to the driver."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, bounds in text_slices(batch.column(2)):
+                words = Words(data, bounds, lower=True)
+                col, value = _columns(words)
+                key, where = np.unique(words.doc() * BUCKETS + col, return_inverse=True)
+                sums = np.bincount(where, weights=value, minlength=len(key)).astype(np.float32)
+                at = pa.array(np.searchsorted(key, np.arange(j - i + 1) * BUCKETS), pa.int32())
+                form = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * SHAPE, pa.int32()), pa.array(shape(words).ravel()))
+                lists = [pa.ListArray.from_arrays(at, x) for x in (pa.array((key % BUCKETS).astype(np.int32)), pa.array(sums))]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], form, *lists], names=["quality", "toxic", "form", "cols", "sums"])
+
+    kind = {f.name: f.dataType.simpleString() for f in documents.schema}
+    return documents.select("quality", "toxic", "text").mapInArrow(run, f"quality {kind['quality']}, toxic {kind['toxic']}, form array<double>, cols array<int>, sums array<float>")
+
+
+def _arrays(rows: pa.Table) -> Sample:
+    """Shape, and row number, bucket and weight of the buckets of each row."""
+    lists = [rows.column(c).combine_chunks() for c in ("form", "cols", "sums")]
+    n = np.diff(lists[1].offsets.to_numpy())
+    form, col, value = (x.flatten().to_numpy() for x in lists)
+    return form.reshape(-1, SHAPE), np.repeat(np.arange(len(n), dtype=np.int32), n), col, value
 
 
 def fit(sample: Sample, y: np.ndarray, rounds: int = 300, ridge: float = 1e-3) -> np.ndarray:
@@ -103,13 +123,14 @@ def train(documents: DataFrame, labels: DataFrame, most: int = 6000) -> dict[str
     """Weights for "good" and "toxic", where the sample has both kinds. The sample is bounded by `most` rows."""
     known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    sample = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("quality", "toxic", F.coalesce("text", F.lit("")).alias("text")).toArrow()
+    labelled = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("quality", "toxic", F.coalesce("text", F.lit("")).alias("text"))
+    sample = sample_features(labelled).toArrow()
     out = {}
     for name, column in (("good", "quality"), ("toxic", "toxic")):
         rows = sample.filter(sample.column(column).is_valid())
         y = rows.column(column).to_numpy().astype(float)
         if 0 < y.sum() < len(y):
-            out[name] = fit(sample_features(rows.column("text")), y)
+            out[name] = fit(_arrays(rows), y)
     return out
 
 
@@ -142,7 +163,8 @@ def _strength(mean: Column, n: Column, s: Column, center: Column) -> Column:
 
 
 def sites(scored: DataFrame) -> DataFrame:
-    """host, path, n, site (posterior mean of good of the path), shift (its log odds against the global mean's)."""
+    """host, path, n and s (sum of good) of the path, host_n, host_s, the prior strengths host_k and path_k, the global mean,
+    and site (posterior mean of good of the path)."""
     p = 1.0 / (1.0 + F.exp(-F.col("good")))
     paths = materialize(scored.sparkSession, scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("s")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"))
@@ -152,15 +174,23 @@ def sites(scored: DataFrame) -> DataFrame:
     hosts = hosts.crossJoin(F.broadcast(prior)).withColumn("host_mean", (F.col("host_k") * F.col("mean") + F.col("host_s")) / (F.col("host_k") + F.col("host_n")))
     paths = paths.join(hosts, "host")
     inner = paths.agg(_strength(F.col("host_mean"), F.col("n"), F.col("s"), F.col("host_mean")).alias("path_k"))
-    site = (F.col("path_k") * F.col("host_mean") + F.col("s")) / (F.col("path_k") + F.col("n"))
-    return paths.crossJoin(F.broadcast(inner)).select("host", "path", "n", site.alias("site"), (_odds(site) - _odds(F.col("mean"))).alias("shift"))
+    paths = paths.crossJoin(F.broadcast(inner))  # one row
+    return paths.select("host", "path", "n", "s", "host_n", "host_s", "host_k", "path_k", "mean", site_mean(F.lit(0.0), F.lit(0)).alias("site"))
+
+
+def site_mean(own: Column, rows: Column) -> Column:
+    """Posterior mean of good of a path, from the columns of sites(), without `rows` rows that sum to `own`."""
+    host = (F.col("host_k") * F.col("mean") + F.col("host_s") - own) / (F.col("host_k") + F.col("host_n") - rows)
+    return (F.col("path_k") * host + F.col("s") - own) / (F.col("path_k") + F.col("n") - rows)
 
 
 def classify(documents: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", most: int = 6000) -> DataFrame:
     """doc_id, evidence, site, posterior, toxic (probabilities) and kept of every row."""
     spark = documents.sparkSession
     scored = materialize(spark, evidence(documents, train(documents, labels, most), host_col, path_col), "evidence")
-    out = scored.join(sites(scored), ["host", "path"])
     sigmoid = lambda z: 1.0 / (1.0 + F.exp(-z))
-    out = out.select("doc_id", sigmoid(F.col("good")).alias("evidence"), "site", sigmoid(F.col("good") + F.col("shift")).alias("posterior"), sigmoid(F.col("toxic")).alias("toxic"))
+    out = scored.join(sites(scored).drop("site"), ["host", "path"])
+    out = out.withColumn("site", site_mean(sigmoid(F.col("good")), F.lit(1)))
+    shift = _odds(F.col("site")) - _odds(F.col("mean"))
+    out = out.select("doc_id", sigmoid(F.col("good")).alias("evidence"), "site", sigmoid(F.col("good") + shift).alias("posterior"), sigmoid(F.col("toxic")).alias("toxic"))
     return out.withColumn("kept", (F.col("posterior") >= 0.5) & (F.col("toxic") < 0.5))
