@@ -23,10 +23,15 @@ Exact copies are merged first. Then groups of candidates (cells) are resolved wi
 3. A text that shares enough shingles with l, but in another order (moved), is sketched again with fresh hashes and four
    shingles a sketch, together with the texts linked to l, and cells of these keys follow.
 
-Cells of at most 4 `small` texts are compared pairwise, so a row has a bounded number of pairs, but only pairs that share
-enough of those shingles; larger ones get a leader again, without the leaders before. The bound is four times as large at
-each further level, so this ends soon even where no member of a cell is central. Pairs whose classes are known to be one
-are passed over.
+A text of n shingles, h of which l has, can only be linked to one that shares t n - h or more of those that l lacks. So,
+with these in one order for all texts of the cell (smallest group first), two linked texts meet by one of the first
+(1 - t) n + 1 of each (prefix filter), and a text gets cells by these alone; most are of no group, and give no row. Where
+t n - h is 0 or less, a text keeps all of them.
+
+Cells of at most 4 `small` texts are compared pairwise, so a row has a bounded number of pairs, but only pairs that can
+share enough of those shingles by their places in that order; larger ones get a leader again, without the leaders before.
+The bound is four times as large at each further level, so this ends soon even where no member of a cell is central. Pairs
+whose classes are known to be one are passed over.
 
 A class is a connected component of links, and its id is its least doc_id.
 
@@ -44,7 +49,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import Words, materialize, mix, signed, text_slices
@@ -207,13 +212,31 @@ def _leaders(rows: DataFrame) -> DataFrame:
     return pairs.select(F.xxhash64("cell", "lead").alias("cell"), F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
 
 
+def _open_groups(cells: DataFrame) -> DataFrame:
+    """The rows, with c members, of groups (cell, key) in which two texts of different classes meet and one is active."""
+    groups = cells.groupBy("cell", "key").agg(F.count("*").alias("c"), F.max("active").alias("open"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("c > 1 and open and x < y").select("cell", "key", "c")
+    return cells.join(materialize(cells.sparkSession, groups, "groups"), ["cell", "key"])
+
+
+def _prefixes(rows: DataFrame, least: float) -> DataFrame:
+    """Of the rows of open groups those by which a text must meet one that it is linked to, and room: how many more of the
+    shingles that the leader lacks can be common after this one. Shingles in no open group are common to no pair, and come
+    first in the order. Key 0 stands for no shingle, so it stays, with room for none."""
+    lack, zero = F.col("n") - F.col("have"), F.col("key") == 0
+    own = Window.partitionBy("cell", "node", "have", zero)
+    rows = rows.withColumn("room", F.count("*").over(own) - F.row_number().over(own.orderBy("c", "key")))
+    must = F.ceil(least * F.col("n") - F.col("have") - 1e-9)
+    kept = rows.where(zero | (must <= 0) | (F.col("room") + 1 >= must))
+    return kept.withColumn("room", F.when(zero & (lack > 0), -1).otherwise(F.col("room"))).drop("c")
+
+
 def _pairwise(rows: DataFrame, least: float) -> DataFrame:
     """Pairs (cell 0, a, b) within small groups, but for those of one class or with no active member, and those that can't
-    share enough: at most what each shares with the old cell's leader, and one shingle for each group that they meet in."""
-    x, y = (rows.select("cell", "key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "have", "comp", "active"))) for s in ("x", "y"))
+    share enough: at most what each shares with the old cell's leader, the shingle of the group, and those after it."""
+    x, y = (rows.select("cell", "key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "have", "comp", "active", "room"))) for s in ("x", "y"))
     met = x.join(y, ["cell", "key"]).where((F.col("node_x") < F.col("node_y")) & (F.col("comp_x") != F.col("comp_y")) & (F.col("active_x") | F.col("active_y")))
-    met = met.groupBy("cell", "node_x", "node_y").agg(F.count("*").alias("keys"), F.max(F.least("have_x", "have_y")).alias("have"), F.min(F.col("n_x") + F.col("n_y")).alias("n"))
-    pairs = met.where(F.col("have") + F.col("keys") >= least / (1.0 + least) * F.col("n") - 1e-9)
+    most = F.least("have_x", "have_y") + 1 + F.least("room_x", "room_y")
+    pairs = met.where(most >= least / (1.0 + least) * (F.col("n_x") + F.col("n_y")) - 1e-9)
     return pairs.select(F.lit(0).cast("long").alias("cell"), F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
 
 
@@ -278,8 +301,8 @@ def near_duplicates(documents: DataFrame, least: float = 0.8, k: int = 5, bands:
     while (cells := _smaller(done, texts, least, k, bands, level)) is not None:
         level, most = level + 1, 4 * most
         cells = materialize(spark, cells.distinct().join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "cells")
-        groups = cells.groupBy("cell", "key").agg(F.count("*").alias("c"), F.max("active").alias("open"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("c > 1 and open and x < y").select("cell", "key", "c")
-        cells = materialize(spark, cells.join(materialize(spark, groups, "groups"), ["cell", "key"]), "groups")
+        cells = materialize(spark, _prefixes(_open_groups(cells), least), "prefixes")
+        cells = materialize(spark, _open_groups(cells), "groups")
         pairs = _pairwise(cells.where(F.col("c") <= most), least)
         if not cells.where(F.col("c") > most).isEmpty():
             pairs = pairs.unionByName(_leaders(cells.where(F.col("c") > most)))

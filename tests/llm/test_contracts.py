@@ -276,6 +276,32 @@ def test_word_hashes():
     assert Words(np.frombuffer(raw, dtype=np.uint8), bounds, lower=True).hash[-1] == h[0]
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_op5_prefixes_lose_no_pair(spark, seed):
+    """Of random cells, every pair that can reach the bound by what it has of the leader and shares besides is kept."""
+    rng = random.Random(seed)
+    texts = {}
+    for family in range(12):
+        base, near = rng.sample(range(1, 400), 40), rng.choice([0, 3, 10, 40, 90, 170])
+        for _ in range(8):
+            swap = rng.choice([0, 1, 2, 3, 5, 9, 25])
+            novel = set(rng.sample(base, 40 - swap)) | {1000 + rng.randrange(1 << 30) for _ in range(swap)}
+            have = near + rng.choice([0, 0, 1, 5])
+            texts[len(texts)] = (have, novel, rng.random() < 0.8)
+    rows = [(7, key, t, have + len(novel), have, active, t) for t, (have, novel, active) in texts.items() for key in novel | {0}]
+    cells = spark.createDataFrame(rows, "cell long, key long, node long, n long, have long, active boolean, comp long")
+    kept = near_dups._open_groups(near_dups._prefixes(near_dups._open_groups(cells), 0.8))
+    got = {(r["a"], r["b"]) for r in near_dups._pairwise(kept, 0.8).collect()}
+    must = set()
+    for a, (have_a, novel_a, active_a) in texts.items():
+        for b, (have_b, novel_b, active_b) in texts.items():
+            need = 0.8 / 1.8 * (have_a + len(novel_a) + have_b + len(novel_b)) - 1e-9
+            if a < b and (active_a or active_b) and min(have_a, have_b) + len(novel_a & novel_b) >= need:
+                must.add((a, b))
+    assert len(must) > 20 and must <= got
+    assert kept.count() < len(rows)
+
+
 def test_op5_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 50), (7, 7)]
     got = {tuple(r) for r in near_dups.components(spark.createDataFrame(edges, "a long, b long")).collect()}
