@@ -7,6 +7,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from brute import Ctw, alignment, fold, lower, op1, op4, op9, op10_base, random_parts, words
@@ -457,3 +458,18 @@ def test_empty_tables(spark):
     assert near_dups.near_duplicates(none).count() == 0
     assert substring_dedup.remove_repeated(none).count() == 0
     assert ctw.score(none).count() == 0
+
+
+def test_op6_sql(spark, tmp_path):
+    """The SQL agrees where pages have copies, null and empty payloads, other scripts, segments and null ids."""
+    html = {1: "a", 2: "a", 3: None, 4: "", 5: "\u4e16\u754c \U0001f600\r\n0\r\n\r\n", 6: "x" * 200_000, 7: "x" * 200_000, 8: "only", 9: "a", None: "a"}
+    spark.createDataFrame([(i, f"http://h/{i}", h) for i, h in html.items()], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries.op6_warc(spark, str(tmp_path))
+    names = sorted(got.columns)
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(queries.ORACLES["op6_warc"])
+    assert sorted(want.columns) == names
+    rows = want.project(", ".join(names)).fetchall()
+    assert sorted(map(tuple, got.select(names).collect()), key=repr) == sorted(rows, key=repr)
+    assert sum("revisit" in r for r in rows) == 5
