@@ -74,4 +74,16 @@ SELECT page_id,
        CASE WHEN page_id IS NOT DISTINCT FROM top THEN NULL ELSE top END AS refers_to
 FROM t
 """
-ORACLES = {"op6_warc": OP6_SQL}
+
+#: Windows are compared as texts of 13 words joined by a blank, which no word contains.
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+k AS (SELECT r, doc_id, i, array_to_string(w[i : i + 12], ' ') AS win FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT win, min(doc_id) AS lo FROM k GROUP BY win),
+c AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS place FROM k JOIN f USING (win) WHERE lo < doc_id),
+g AS (SELECT r, list(place) AS gone FROM c GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (r)
+"""
+ORACLES = {"op6_warc": OP6_SQL, "op9_substring_dedup": OP9_SQL}
