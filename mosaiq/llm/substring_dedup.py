@@ -10,10 +10,13 @@ stand. Spark joins then compact and resolve:
 3. where a minimizer branches into several paths (the ends of passages), only the first copy of each path is opened into
    its edges, and those are resolved one by one.
 
-Each repeated path or edge keeps its source coordinates. The last step reads the document again, holds the words at those
-coordinates against the hash, and removes them.
+Each repeated path or edge keeps its source coordinates: its own and those in the earliest document. Both places are read
+again: the words at the earliest place are digested (BLAKE2b), the digest is joined to the repeats, and a document loses
+words only where the digest of its own words is the same. A path that fails this test stays whole.
 
-Every edge has exactly one minimizer, so equal edges always meet; nothing is sampled. Hashes have 64 bits.
+Every edge has exactly one minimizer, so equal edges always meet; nothing is sampled. Paths meet by hashes of 64 bits and are
+held to digests of 64 more. A path has at most 256 edges (a longer one, in periodic text, is cut; pieces that don't agree
+are opened like other branches), which is shorter than any two word sequences built to share a power sum modulo 2**64.
 
 Cases: null and empty text have no words; documents with a null id remove nothing and cause no removal; rows of one id
 are one document (a copy within it isn't repeated); of equal texts the smallest id keeps its words; texts of any length
@@ -34,7 +37,8 @@ from pyspark.sql import functions as F
 
 from ._common import Words, materialize, signed, text_slices
 
-_SHIFT = 22  # a path has fewer than 2**22 edges; longer ones are cut
+_SHIFT = 22  # of the first word in a coordinate, before the number of edges
+_MOST = 256  # edges of a path; longer ones are cut
 
 
 def _paths(words: Words, k: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -58,10 +62,9 @@ def _paths(words: Words, k: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.
     begin = np.flatnonzero(fresh)
     stop = np.append(begin[1:], m)
     edges = np.searchsorted(np.flatnonzero(inside), stop) - np.searchsorted(np.flatnonzero(inside), begin)
-    if len(edges) and edges.max() >= 1 << _SHIFT:
-        most = (1 << _SHIFT) - 1
-        cuts = [(b + i, min(most, e - i)) for b, e in zip(begin, edges, strict=True) for i in range(0, int(e), most)]
-        begin, edges = (np.array(x, dtype=np.int64) for x in zip(*cuts, strict=True))
+    pieces = -(-edges // _MOST)
+    nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin, edges = np.repeat(begin, pieces) + nth * _MOST, np.minimum(np.repeat(edges, pieces) - nth * _MOST, _MOST)
     return begin, edges, least[begin], doc[begin]
 
 
@@ -80,17 +83,30 @@ def paths(documents: DataFrame, k: int, seed: int) -> DataFrame:
     return documents.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "v long, s long, doc_id long, pos long")
 
 
-def _verified(places: pa.ListArray, words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, first word and edges of the places whose words have the hash that they claim; places: a list of
-    (pos, s) for each text, or null."""
+def _placed(places: pa.ListArray, words: Words, k: int) -> tuple[np.ndarray, ...]:
+    """Text number, first word, edges, hash and number in the flat list of the places whose words have the hash that they
+    claim (rows of one id can differ); places: a list of structs with pos and s for each text, or null."""
     flat = places.flatten()
     row = np.repeat(np.arange(len(places)), pc.fill_null(pc.list_value_length(places), 0).to_numpy())
     pos, s = (flat.field(c).to_numpy() for c in ("pos", "s"))
     begin, edges = words.first[row] + (pos >> _SHIFT), pos & ((1 << _SHIFT) - 1)
-    there = begin + edges + k - 1 <= words.first[row + 1]
-    row, begin, edges, s = row[there], begin[there], edges[there], s[there]
-    good = words.spans(begin, edges + k - 1).view(np.int64) == s
-    return row[good], begin[good], edges[good]
+    nth = np.flatnonzero(begin + edges + k - 1 <= words.first[row + 1])
+    nth = nth[words.spans(begin[nth], edges[nth] + k - 1).view(np.int64) == s[nth]]
+    return row[nth], begin[nth], edges[nth], s[nth], nth
+
+
+def _digests(words: Words, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A digest of length[i] words from begin[i] on, each followed by a blank."""
+    if not len(begin):
+        return np.zeros(0, dtype=np.int64)
+    size = words.end - words.start
+    stop = np.cumsum(size + 1)
+    out = np.full(int(stop[-1]), 0x20, dtype=np.uint8)
+    out[np.arange(len(words.body)) + np.repeat(np.arange(len(size)), size)] = words.body
+    raw = memoryview(out.tobytes())
+    at = np.concatenate([[0], stop])
+    found = [hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(at[begin].tolist(), at[begin + length].tolist(), strict=True)]
+    return np.frombuffer(b"".join(found), dtype="<i8")
 
 
 def edges_of(documents: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
@@ -101,7 +117,7 @@ def edges_of(documents: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j, data, bounds in text_slices(batch.column(1)):
                 words = Words(data, bounds)
-                row, begin, edges = _verified(batch.column(2)[i:j], words, k)
+                row, begin, edges, _, _ = _placed(batch.column(2)[i:j], words, k)
                 row, total = np.repeat(row, edges), int(edges.sum())
                 at = np.repeat(begin - (np.cumsum(edges) - edges), edges) + np.arange(total)
                 hashes = words.spans(at, np.full(total, k)).view(np.int64)
@@ -111,34 +127,54 @@ def edges_of(documents: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
     return documents.select("doc_id", "text").join(lists, "doc_id").select("doc_id", "text", "places").mapInArrow(run, "s long, doc_id long, pos long")
 
 
+def sources(documents: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
+    """s and digest of the words at the chosen places (doc_id, pos, s)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, bounds in text_slices(batch.column(0)):
+                words = Words(data, bounds)
+                _, begin, edges, s, _ = _placed(batch.column(1)[i:j], words, k)
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(_digests(words, begin, edges + k - 1))], names=["s", "digest"])
+
+    lists = chosen.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "s")).alias("places"))  # within one document
+    read = documents.select("doc_id", "text").join(lists, "doc_id").select("text", "places").mapInArrow(run, "s long, digest long")
+    return read.groupBy("s").agg(F.min("digest").alias("digest"))
+
+
 def repeated(documents: DataFrame, k: int = 13, seed: int = 5) -> DataFrame:
-    """doc_id, pos, s of all paths and edges that a document with a smaller id has too."""
+    """doc_id, pos, s of all paths and edges that a document with a smaller id has too, and the digest of its words."""
     spark = documents.sparkSession
     rows = paths(documents, k, seed)
     # what is joined is a written table each time: a join of two plain exchanges is one whose hot keys Spark can split
     shared = materialize(spark, rows.groupBy("v").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("v"), "shared")
     rows = materialize(spark, rows.join(shared, "v"), "paths")
-    first = materialize(spark, rows.groupBy("s").agg(F.min("doc_id").alias("lo")), "earliest")
+    first = materialize(spark, rows.groupBy("s").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "earliest")
     rows = materialize(spark, rows.join(first, "s"), "firsts")
     whole = rows.where("lo < doc_id").select("doc_id", "pos", "s")
-    heads = rows.where("lo = doc_id").groupBy("v", "s", "doc_id").agg(F.min("pos").alias("pos"))
+    heads = rows.where("lo = doc_id").groupBy("v", "s", "doc_id", "hi").agg(F.min("pos").alias("pos"))
     branching = materialize(spark, heads.groupBy("v").agg(F.min("s").alias("a"), F.max("s").alias("b")).where("a < b").select("v"), "branching")
     opened = rows.where("lo = doc_id").join(branching, "v", "left_semi").select("doc_id", "pos", "s")
     edges = materialize(spark, edges_of(documents, opened, k), "edges")
     earliest = materialize(spark, edges.groupBy("s").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("s", "lo"), "edges_of_several")
-    single = edges.join(earliest, "s").where("lo < doc_id").select("doc_id", "pos", "s")
-    return materialize(spark, whole.unionByName(single), "repeated")
+    single = materialize(spark, edges.join(earliest, "s"), "single")
+    begun = heads.where("doc_id < hi").select("doc_id", "pos", "s").unionByName(single.where("lo = doc_id").groupBy("s", "doc_id").agg(F.min("pos").alias("pos")).select("doc_id", "pos", "s"))
+    digests = materialize(spark, sources(documents, begun, k), "sources")
+    again = materialize(spark, whole.unionByName(single.where("lo < doc_id").select("doc_id", "pos", "s")), "again")
+    return materialize(spark, again.join(digests, "s"), "repeated")
 
 
 def remove_repeated(documents: DataFrame, k: int = 13, seed: int = 5, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and the kept words as text, if asked for) of every row."""
-    found = repeated(documents, k, seed).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "s")).alias("places"))  # within one document
+    found = repeated(documents, k, seed).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "s", "digest")).alias("places"))  # within one document
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, bounds in text_slices(batch.column(1)):
-                words = Words(data, bounds)
-                row, begin, edges = _verified(batch.column(2)[i:j], words, k)
+                words, places = Words(data, bounds), batch.column(2)[i:j]
+                row, begin, edges, _, nth = _placed(places, words, k)
+                same = _digests(words, begin, edges + k - 1) == places.flatten().field("digest").to_numpy()[nth]
+                row, begin, edges = row[same], begin[same], edges[same]
                 cover = np.zeros(len(words.hash) + 1, dtype=np.int64)
                 np.add.at(cover, begin, 1)
                 np.add.at(cover, begin + edges + k - 1, -1)

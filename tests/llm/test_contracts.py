@@ -425,6 +425,46 @@ def test_op9(spark, small):
         assert got == sorted(op9(rows), key=repr)
 
 
+def test_op9_periodic_texts(spark):
+    """Paths of periodic texts are cut into pieces; passages that begin elsewhere in the period still meet."""
+    rng = random.Random(9)
+    rows = [(1, "a b c " * 400), (2, "z " + "b c a " * 300), (3, "b " * 700), (4, "q " + "b " * 260), (5, "a b c " * 100 + "b " * 300)]
+    rows += [(10 + i, " ".join(rng.choice("xy") for _ in range(600))) for i in range(4)]
+    got = rows_of(substring_dedup.remove_repeated(documents(spark, rows)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == sorted(op9(rows), key=repr)
+    assert any(g[2] for g in got)
+
+
+def test_op9_words_of_both_places_decide(spark):
+    """Equal hashes aren't enough: where the digest of the earliest place is another, nothing is removed."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, " ".join(f"w{i}" for i in range(40))), (2, "z " + " ".join(f"w{i}" for i in range(40)))]
+    found = substring_dedup.repeated(documents(spark, rows))
+    assert found.count() > 0
+    real, gone = substring_dedup.repeated, {}
+    for name, table in (("true", found), ("false", found.withColumn("digest", F.col("digest") + 1))):
+        substring_dedup.repeated = lambda *_, table=table: table
+        try:
+            gone[name] = [r["n_removed"] for r in substring_dedup.remove_repeated(documents(spark, rows)).orderBy("doc_id").collect()]
+        finally:
+            substring_dedup.repeated = real
+    assert gone == {"true": [0, 40], "false": [0, 0]}
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from mosaiq.llm._common import shared_dir
+
+    session = lambda master, named: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: named), sparkContext=SimpleNamespace(master=master))
+    assert shared_dir(session("spark://h:7077", "hdfs://x")) == "hdfs://x"
+    assert shared_dir(session("local[4]", None)) == shared_dir(session("local", None))
+    for master in ("spark://h:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_dir(session(master, None))
+
+
 def test_op10(spark, small):
     """Every byte is given by the six before it, also across words: against explicit nodes, over whole texts."""
     rows = odd_rows() + [(1000 + i, t) for i, t in small[:25]] + [(30, "\x03"), (31, "b a"), (32, "a b")]
