@@ -65,14 +65,14 @@ def spelled(words: Words, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return grams[np.arange(len(owner)) + depth * owner], owner
 
 
-def counts(documents: DataFrame, depth: int, most: int = 1 << 22) -> DataFrame:
+def counts(documents: DataFrame, depth: int, most: int = 1 << 21) -> DataFrame:
     """key, n: how often each gram, and each word, is in the training texts (0: in held-out ones alone)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, n = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         for batch in batches:
             held = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, _, data, bounds in text_slices(batch.column(1), 8 << 20):
+            for i, _, data, bounds in text_slices(batch.column(1)):
                 words = Words(data, bounds, lower=True)
                 grams, owner = spelled(words, depth)
                 trained = ~held[i : i + len(bounds) - 1]
@@ -83,11 +83,14 @@ def counts(documents: DataFrame, depth: int, most: int = 1 << 22) -> DataFrame:
                         key, n = np.concatenate([key, u]), np.concatenate([n, c * weight])
                 if len(key) > most:
                     key, n = _summed(key, n)
-                if len(key) > most // 2:
-                    yield pa.RecordBatch.from_arrays([signed(key), pa.array(n)], names=["key", "n"])
-                    key, n = key[:0], n[:0]
-        key, n = _summed(key, n)
-        yield pa.RecordBatch.from_arrays([signed(key), pa.array(n)], names=["key", "n"])
+                    if len(key) > most // 2:
+                        yield from rows(key, n)
+                        key, n = key[:0], n[:0]
+        yield from rows(*_summed(key, n))
+
+    def rows(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(key), 1 << 17):
+            yield pa.RecordBatch.from_arrays([signed(key[i : i + (1 << 17)]), pa.array(n[i : i + (1 << 17)])], names=["key", "n"])
 
     return documents.select("held_out", "text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -271,7 +274,7 @@ class Lookup:
     """Values of up to some million 64-bit keys, in open addressing; key 0 is never there."""
 
     def __init__(self, key: np.ndarray, value: np.ndarray) -> None:
-        self.bits = max(4, int(2 * len(key)).bit_length())
+        self.bits = max(4, int(1.5 * len(key)).bit_length())  # at least a third of the slots stay empty
         self.key, self.value = np.zeros(1 << self.bits, dtype=np.uint64), np.zeros(1 << self.bits)
         there = key != 0
         key, value = key[there], value[there]
