@@ -11,7 +11,8 @@ part each value of the item always stands for the same value of the document, an
 found again when its numbers, names and units have been exchanged, but not when only a pattern of slots recurs: windows
 with few literal words aren't indexed there. The plain words find exact copies whatever they are made of.
 
-The benchmark's windows are broadcast up to `most` of them, and joined by a shuffle beyond that.
+The benchmark's windows, and the ids of documents whose slots are compared, are broadcast up to `most` of them, and joined
+by a shuffle beyond that.
 
 Cases: null and empty texts and items match nothing; an item shorter than a window is matched by one window of its own
 length, with exchanged slots only if it has `literals` literal words; repeated items and rows give one row each pair of ids; rows with a null id
@@ -56,9 +57,9 @@ def _views(texts: DataFrame) -> DataFrame:
     df = texts.withColumn("_full", marked(F.col("text"), every=True))
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"[^\p{L}\p{N}]+", " "))
     df = df.select(*texts.columns, F.replace("_full", F.lit("§b"), F.lit("")).alias("_m0"), F.replace("_full", F.lit("§b"), F.lit("§a")).alias("_m1"), plain.alias("_m2"))
-    for v in range(3):
+    for v in range(2):
         df = df.withColumn(f"_t{v}", _tokens(F.col(f"_m{v}")))
-    return df
+    return df.withColumn("_t2", F.when(F.col("_m2") == "", F.array().cast("array<string>")).otherwise(F.split("_m2", " ")))  # no slots
 
 
 def _windows(df: DataFrame, shapes: list[tuple[int, int]], keep: list[str]) -> DataFrame:
@@ -67,17 +68,13 @@ def _windows(df: DataFrame, shapes: list[tuple[int, int]], keep: list[str]) -> D
     sizes = [f"_n{v}" for v in range(3)]
     hashes = lambda v: F.transform(f"_t{v}", lambda w: F.xxhash64(w, F.lit(v)))
     df = df.select(*keep, *(F.size(f"_t{v}").alias(f"_n{v}") for v in range(3)), *(hashes(v).alias(f"_h{v}") for v in range(3)))
-    for k, (view, size) in enumerate(shapes):
-        kept = [*keep, *sizes, "_h0", "_h1", "_h2", *(f"_w{i}" for i in range(k))]
-        df = df.withColumn(f"_w{k}", F.col(f"_h{view}"))
-        done, left = 1, size
-        while left > 1:
-            step = min(done, size - done)
-            n = F.greatest(F.col(f"_n{view}") - (done + step - 1), F.lit(0))
-            df = df.select(*kept, F.zip_with(F.slice(f"_w{k}", F.lit(1), n), F.slice(f"_w{k}", F.lit(step + 1), n), lambda a, b: F.xxhash64(a, b)).alias(f"_w{k}"))
-            done += step
-            left = size - done + 1
-    return df.select(*keep, *sizes, *(f"_w{k}" for k in range(len(shapes))))
+    made = {(v, 1): f"_h{v}" for v in range(3)}  # columns by view and size
+    for view, size in sorted({(v, min(1 << i, s)) for v, s in shapes for i in range(1, s.bit_length() + 1)} - set(made)):
+        half = 1 << ((size - 1).bit_length() - 1)  # two windows of this size, shifted, are one of `size`
+        long, n = F.col(made[view, half]), F.greatest(F.col(f"_n{view}") - (size - 1), F.lit(0))
+        made[view, size] = f"_v{view}_{size}"
+        df = df.select("*", F.zip_with(F.slice(long, F.lit(1), n), F.slice(long, F.lit(size - half + 1), n), lambda a, b: F.xxhash64(a, b)).alias(made[view, size]))
+    return df.select(*keep, *sizes, *(F.col(made[shape]).alias(f"_w{k}") for k, shape in enumerate(shapes)))
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, window: int = 8, cover: float = 0.5, literals: int = 4, most: int = 1 << 20, run: int = 13) -> DataFrame:
@@ -133,16 +130,19 @@ def leaks(documents: DataFrame, benchmark: DataFrame, window: int = 8, cover: fl
     copied = units.where("v = 2").select("doc_id", "item_id", F.size("map").alias("covered"), "item_tokens", F.lit(False).alias("templated"), F.lit(True).alias("same"))
     units = units.where("v < 2")
     texts = documents.select("doc_id", F.xxhash64("text").alias("t"), "text")
-    chosen = units.select(F.col("doc_id").alias("d"), F.col("t").alias("u")).distinct()
+    chosen = materialize(spark, units.select(F.col("doc_id").alias("d"), F.col("t").alias("u")).distinct(), "chosen")
+    chosen = F.broadcast(chosen) if chosen.count() <= most else chosen  # two longs a row
     texts = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("u")), "left_semi").select(F.col("doc_id").alias("d"), F.col("t").alias("u"), marked(F.col("text"), every=True).alias("doc_m")).distinct()
     both = units.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("u"))).join(tokens.drop("item_tokens"), ["_i", "v"])
     doc_m = F.replace("doc_m", F.lit("§b"), F.when(F.col("v") == 0, "").otherwise("§a"))
-    both = both.withColumns({"item_v": F.split("item_m", " "), "doc_v": F.split(doc_m, " ")})
-    pairs = F.transform("map", lambda p: F.struct(F.get("item_v", p["i"]).alias("a"), F.get("doc_v", p["j"]).alias("b")))
-    both = both.withColumn("slots", F.array_distinct(F.filter(pairs, lambda p: p["a"].startswith("§"))))
-    one = lambda side: F.size(F.array_distinct(F.transform("slots", lambda p: p[side])))
-    both = both.where((one("a") == F.size("slots")) & (one("b") == F.size("slots")))
-    found = both.select("doc_id", "item_id", F.size("map").alias("covered"), "item_tokens", F.lit(True).alias("templated"), (~F.exists("slots", lambda p: p["a"] != p["b"])).alias("same"))
+    # bound to a variable, since Spark would else put the splitting into the lambdas, once for each place
+    sides = F.array(F.struct(F.split("item_m", " ").alias("item"), F.split(doc_m, " ").alias("doc")))
+    pairs = lambda s: F.transform("map", lambda p: F.struct(F.get(s["item"], p["i"]).alias("a"), F.get(s["doc"], p["j"]).alias("b")))
+    slots = F.transform(sides, lambda s: F.array_distinct(F.filter(pairs(s), lambda p: p["a"].startswith("§"))))
+    one = lambda s, side: F.size(F.array_distinct(F.transform(s, lambda p: p[side]))) == F.size(s)
+    verdict = F.transform(slots, lambda s: F.when(one(s, "a") & one(s, "b"), ~F.exists(s, lambda p: p["a"] != p["b"])))
+    both = both.select("doc_id", "item_id", F.size("map").alias("covered"), "item_tokens", F.lit(True).alias("templated"), F.explode_outer(verdict).alias("same"))
+    found = both.where("same is not null")
     best = F.max(F.struct((F.col("covered") / F.col("item_tokens")).alias("share"), "templated", "covered", "item_tokens"))
     out = found.unionByName(copied).groupBy("doc_id", "item_id").agg(best.alias("b"), F.max("same").alias("exact"))
     return out.select("doc_id", "item_id", F.col("b.covered").cast("long").alias("covered"), F.col("b.item_tokens").cast("long").alias("item_tokens"), "exact")
