@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import uuid
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -12,39 +10,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import materialize, shared_dir  # noqa: F401
+
 #: ASCII white space as the word pattern [^\x20\x09-\x0D]+ sees it.
 SPACES = " \t\n\x0b\x0c\r"
-_CLEANUP = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.shuffleDependency.fileCleanup.enabled")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one under /tmp only where the session names none and is local (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return named or "file:///tmp/checkpoints/mosaiq"
-
-
-def materialize(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: this cuts lineage, survives the loss of any
-    executor, and lets Spark delete the shuffle files that made it."""
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    before = {}
-    for key in _CLEANUP:
-        before[key] = spark.conf.get(key, None)
-        spark.conf.set(key, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words_of(text: Column) -> Column:
     """Array of the words [^\\x20\\x09-\\x0D]+ (empty for null or blank text)."""
     stripped = F.trim(F.coalesce(text, F.lit("")), F.lit(SPACES))

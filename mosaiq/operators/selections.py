@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.rules import dec, q, q_float, unpack
 from ..plans.document import Node, State
 from ..plans.relation import EMPTY, Rel, frame, moved, table, tabled
+from ..plans.shared import materialize
+from .regions import component
 
 C = F.col
 ALL = Rel(fn=lambda x, y: F.lit(255))
@@ -114,61 +116,32 @@ def of_alpha(spark: SparkSession, s: State, n: Node) -> Rel:
     return EMPTY if n.pixels.is_empty else Rel(fn=lambda x, y: unpack(n.pixels.fn(x, y), "a"))
 
 
-def region(spark: SparkSession, s: State, n: Node, sx: int, sy: int, tolerance: int, contiguous: bool, antialias: bool, rounds: int = 4) -> Rel:
+def region(spark: SparkSession, s: State, n: Node, sx: int, sy: int, tolerance: int, contiguous: bool, antialias: bool) -> Rel:
     """Pixels like the seed's, all of them or the 8-connected component with the seed, and its soft fringe.
 
-    Components grow by least labels with pointer jumping, on the matching pixels alone; each round is a checkpoint, so a
-    lost executor costs one round."""
+    Distances are written once, as far as the fringe can reach. A pixel of the fringe is never like the seed: next to the
+    component it would belong to it."""
     if not (0 <= sx < s.w and 0 <= sy < s.h):
         return EMPTY
     df = frame(spark, s.w, s.h, {"v": n.pixels})
     seed = df.where((C("x") == sx) & (C("y") == sy)).select("v").first()["v"]
     parts = [(seed >> k) & 255 for k in (0, 8, 16, 24)]
     d = F.greatest(*[F.abs(F.shiftright("v", k).bitwiseAND(F.lit(255).cast("long")) - p) for k, p in zip((0, 8, 16, 24), parts, strict=True)])
-    df = df.select("x", "y", d.alias("d"))
-    inside = df.where(C("d") <= tolerance).select("x", "y")
-    if contiguous:
-        inside = component(spark, inside, s.w, sx, sy)
-    core = inside.select("x", "y", F.lit(255).cast("long").alias("v"))
-    if not (antialias and tolerance > 0):
+    rim = antialias and tolerance > 0
+    near = materialize(spark, df.select("x", "y", d.cast("int").alias("d")).where(C("d") < 1.5 * tolerance if rim else C("d") <= tolerance), "near")
+    inside = near.where(C("d") <= tolerance).select("x", "y")
+    runs = component(spark, inside, s.w, sx, sy) if contiguous else inside.select("y", C("x").alias("a"), C("x").alias("b"))
+    core = runs.select(F.explode(F.sequence("a", "b")).alias("x"), "y", F.lit(255).cast("long").alias("v"))
+    if not rim:
         return Rel(core)
-    shifts = F.explode(F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]))
-    ring = inside.select("x", "y", shifts.alias("o")).select((C("x") + C("o.dx")).alias("x"), (C("y") + C("o.dy")).alias("y")).distinct()
+    row = F.explode(F.array(*map(F.lit, (-1, 0, 1)))).alias("o")
+    around = F.when(C("o") == 0, F.array(C("a") - 1, C("b") + 1)).otherwise(F.sequence(C("a") - 1, C("b") + 1))
+    ring = runs.select("y", "a", "b", row).select(F.explode(around).alias("x"), (C("y") + C("o")).alias("y")).distinct()
     a = 1.5 - C("d") / F.lit(float(tolerance))
-    soft = df.join(ring, ["x", "y"], "left_semi").join(inside, ["x", "y"], "left_anti").select("x", "y", F.when(a <= 0.0, 0).otherwise(q(a * 2.0)).cast("long").alias("v"))
+    soft = near.where(C("d") > tolerance).join(ring, ["x", "y"], "left_semi").select("x", "y", q(a * 2.0).cast("long").alias("v"))
     return Rel(core.unionByName(soft.where("v > 0")))
 
 
-def component(spark: SparkSession, cells: DataFrame, w: int, sx: int, sy: int) -> DataFrame:
-    """The cells that are 8-connected to (sx, sy)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/mosaiq"
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared)
-    node = C("y").cast("long") * w + C("x")
-    # runs of cells in a row are one node: far fewer rounds than cells
-    row = Window.partitionBy("y").orderBy("x")
-    runs = cells.withColumn("g", C("x") - F.row_number().over(row)).groupBy("y", "g").agg(F.min("x").alias("a"), F.max("x").alias("b"))
-    runs = runs.select("y", "a", "b", (C("y").cast("long") * w + C("a")).alias("id")).checkpoint()
-    touch = F.explode(F.sequence(C("a") - 1, C("b") + 1))
-    under = runs.select((C("y") + 1).alias("y"), C("id").alias("u"), touch.alias("x"))
-    cover = runs.select("y", C("id").alias("v"), F.explode(F.sequence("a", "b")).alias("x"))
-    edges = under.join(cover, ["y", "x"]).select("u", "v").distinct()
-    edges = edges.unionByName(edges.select(C("v").alias("u"), C("u").alias("v"))).checkpoint()
-    label = runs.select("id", C("id").alias("c"))
-    while True:
-        near = edges.join(label.select(C("id").alias("v"), "c"), "v").groupBy(C("u").alias("id")).agg(F.min("c").alias("n"))
-        low = label.join(near, "id", "left").select("id", "c", F.least("c", F.coalesce("n", "c")).alias("low"))
-        jump = label.select(C("id").alias("low"), C("c").alias("j"))
-        grown = low.join(jump, "low", "left").select("id", "c", F.least("low", F.coalesce("j", "low")).alias("to")).checkpoint()
-        label = grown.select("id", C("to").alias("c"))
-        if grown.where("to < c").isEmpty():
-            break
-    home = runs.where((C("y") == sy) & (C("a") <= sx) & (C("b") >= sx)).join(label, "id").select("c")
-    chosen = label.join(home, "c", "left_semi").select("id")
-    assert node is not None
-    return runs.join(chosen, "id", "left_semi").select(F.explode(F.sequence("a", "b")).alias("x"), "y")
-
-
 def box_widths(sigma: float, half_up: bool = False) -> list[int]:
     """Widths of the three boxes whose passes are nearly a Gaussian, narrow ones first."""
     s12 = (12.0 * sigma) * sigma

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 from mosaiq.functions import adjust
-from mosaiq.operators import geometry, selections, stroke
+from mosaiq.operators import geometry, regions, selections, stroke
 from mosaiq.plans import script
 from mosaiq.plans.document import ScriptError
 from mosaiq.sources import png
@@ -156,6 +156,53 @@ def test_wand_takes_corners_and_softens_the_rim(spark):
     assert row == {0: 255, 1: 255, 2: 255, 3: 255, 4: 255, 5: 128}
 
 
+def flooded(inside, x, y):
+    """The 8-connected cells, by a stack."""
+    got, stack = {(x, y)}, [(x, y)]
+    while stack:
+        x, y = stack.pop()
+        near = {(x + i, y + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & inside
+        stack += near - got
+        got |= near
+    return got
+
+
+@pytest.mark.parametrize("side", [regions.SIDE, 4])
+def test_component_of_long_arms(spark, side):
+    """Arms that meet at their far ends: labels that spread from cell to cell would need a round for each row."""
+    inside = {(0, y) for y in range(60)} | {(2, y) for y in range(1, 60)} | {(1, 60)} | {(4, y) for y in range(60)}
+    cells = spark.createDataFrame(sorted(inside), "x int, y int")
+    runs = regions.component(spark, cells, 5, 2, 1, side, 2)
+    assert {(x, r.y) for r in runs.collect() for x in range(r.a, r.b + 1)} == {c for c in inside if c[0] < 4}
+    size = runs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert int(size) < 10**12  # no estimate that doubles its digits with each round
+
+
+@pytest.mark.parametrize("density, side, block", [(0.41, 4, 2), (0.6, 5, 3), (1.0, 7, 16)])
+def test_component_across_tiles(spark, density, side, block):
+    on = np.random.default_rng(8).random((37, 41)) < density
+    inside = {(int(x), int(y)) for y, x in zip(*np.nonzero(on), strict=True)}
+    cells = spark.createDataFrame(sorted(inside), "x int, y int")
+    x, y = max(inside, key=lambda c: (len(flooded(inside, *c)), c)) if density < 0.5 else max(inside)
+    runs = regions.component(spark, cells, 41, x, y, side, block).collect()
+    got = [(x, r.y) for r in runs for x in range(r.a, r.b + 1)]
+    assert set(got) == flooded(inside, x, y) and len(got) == len(set(got))
+
+
+@pytest.mark.parametrize("contiguous", [True, False])
+def test_region_and_fringe(spark, contiguous):
+    rgba = np.random.default_rng(3).choice(np.array([0, 60, 100, 130, 149, 255], dtype=np.uint8), (30, 26, 1)) * np.array([1, 0, 1, 0], dtype=np.uint8)
+    rgba[..., 3], tolerance = 255, 100
+    data = base64.b64encode(png.encode(rgba)).decode()
+    doc = script.run(spark, {"canvas": {"w": 26, "h": 30}, "ops": [{"op": "place_image", "id": "p", "png": data, "x": 0, "y": 0}, {"op": "select_wand", "layer": "p", "x": 5, "y": 7, "tolerance": tolerance, "contiguous": contiguous}], "out": "png8"})
+    d = np.abs(rgba.astype(int) - rgba[7, 5].astype(int)).max(axis=2)
+    inside = {(x, y) for y in range(30) for x in range(26) if d[y, x] <= tolerance}
+    core = flooded(inside, 5, 7) if contiguous else inside
+    ring = {(x + i, y + j) for x, y in core for i in (-1, 0, 1) for j in (-1, 0, 1)} - core
+    want = {c: 255 for c in core} | {(x, y): v for x, y in ring if 0 <= x < 26 and 0 <= y < 30 and (v := math.floor(max(1.5 - d[y, x] / tolerance, 0.0) * 2.0 * 255.0 + 0.5))}
+    assert {(r.x, r.y): r.v for r in doc.state.selection.df.collect()} == want
+
+
 def test_walk_and_mask_have_the_worked_numbers():
     brush = stroke.Brush(size=8.0, rate=20.0, smoothing=0.5, size_lut=tuple(stroke.pressure_lut([[0, 0], [1, 1]])))
     samples = [{"x": 10.0, "y": 10.0, "pressure": 1.0, "t_ms": 0.0}, {"x": 13.0, "y": 14.0, "pressure": 0.5, "t_ms": 20.0}, {"x": 13.0, "y": 14.0, "pressure": 0.5, "t_ms": 120.0}]
